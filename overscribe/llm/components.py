@@ -43,5 +43,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = after
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(got) == state or not got[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         state = tuple(got)
