@@ -12,6 +12,18 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decision_list import quality_rules
 
@@ -24,6 +36,19 @@ def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup
+
+    out = dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordpiece import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .golay import near_duplicates
 
@@ -40,6 +65,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
+    "op2_extendible_hashing": """
+with d as (select row_number() over () as rid, doc_id, coalesce(octet_length(encode(text)), 0) as n_bytes,
+             right(lpad(bin(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint), 60, '0'), 60) as a from documents),
+     p as (select rid, depth, substr(a, 1, depth) as shard, n_bytes from d, range(0, 61) as t(depth)),
+     s as (select depth, shard, sum(n_bytes) as bytes, count(*) as n from p group by all),
+     m as (select rid, min(depth) as depth from p join s using (depth, shard) where bytes <= 1048576 or n = 1 group by rid)
+select doc_id, cast(n_bytes as bigint) as n_bytes, substr(a, 1, depth) as shard, cast(depth as integer) as depth from d join m using (rid)""",
     "op9_winnowing": rf"""
 with d as (select row_number() over () as rid, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
