@@ -24,6 +24,13 @@ def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op3_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents name their site by source; language is the level below."""
+    from .site_bayes import site_quality
+
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decision_list import quality_rules
 
@@ -62,6 +69,12 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
