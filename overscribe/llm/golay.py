@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, materialize, same_row, small, text_hash
+from .common import DOC_COLUMNS, in_batches, materialize, same_row, small, text_hash
 from .components import components
 
 #: Differing bits up to which fingerprints are linked. The keys below are made for two.
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = pa.array([fingerprint(t.as_py() or b"") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "row_hash", "fp"])
 
-    return docs.select("doc_id", text_hash().alias("row_hash"), "text").mapInArrow(run, "doc_id long, row_hash long, fp long")
+    return in_batches(docs.select("doc_id", text_hash().alias("row_hash"), "text"), run, "doc_id long, row_hash long, fp long")
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                 row, key = golay_keys(fp, code)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(key)], ["fp", "key"])
 
-    return fps.select("fp").mapInArrow(run, "fp long, key long")
+    return in_batches(fps.select("fp"), run, "fp long, key long")
 
 
 def links(fps: DataFrame) -> DataFrame:

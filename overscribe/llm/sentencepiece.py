@@ -32,7 +32,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE, UNIGRAM = 1, 2, 3, 4, 5, 6
 #: Fixed value: what a character outside the vocabulary scores below the least piece.
 UNK_PENALTY = 10.0
 #: Units solved together, units of which each task keeps the ids, and characters up to which it keeps one.
-BATCH, MEMO, LONGEST = 4096, 300_000, 64
+BATCH, MEMO, LONGEST = 4096, 150_000, 64
 #: Units under which a group is not worth solving together.
 FEW = 64
 
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 n = pa.array(np.diff(bytes_to[offsets]), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), values), n], ["text", "doc_id", "ids", "n_bytes"])
 
-    return docs.select("text", "doc_id").mapInArrow(run, "text string, doc_id long, ids array<int>, n_bytes long")
+    return in_batches(docs.select("text", "doc_id"), run, "text string, doc_id long, ids array<int>, n_bytes long")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -351,7 +351,7 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
             texts = [decode_ids(values[a:b], m) if ok else None for a, b, ok in zip(offsets, offsets[1:], valid, strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return in_batches(encoded, run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:

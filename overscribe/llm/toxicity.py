@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import DOC_COLUMNS, materialize
+from .common import DOC_COLUMNS, in_batches, materialize
 
 #: Labelled documents, at most, from which lexicon and weights are learned: those with the least hash of their doc_id.
 SAMPLE = 20_000
@@ -36,7 +36,7 @@ STEMS = range(4, 10)
 #: Words to each side of a hit that make its context.
 WINDOW = 8
 #: Words of which each task keeps the verdict, and deterministic states it keeps.
-MEMO, STATES = 400_000, 50_000
+MEMO, STATES = 150_000, 50_000
 
 QUOTES = "\"“”„«»‚‘’‹›"
 EDGES = string.punctuation + QUOTES + "…–—¡¿"
@@ -247,7 +247,7 @@ def mine(sample: DataFrame) -> Lexicon:
     neg = n - pos
     if not pos or not neg:
         return Lexicon([])
-    rows = sample.select("text", "toxic").mapInArrow(run, "term string, stem boolean, pos long, neg long")
+    rows = in_batches(sample.select("text", "toxic"), run, "term string, stem boolean, pos long, neg long")
     rows = rows.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 3")
     # Toxic most of the time, and by a likelihood ratio that chance hardly gives.
     share, base = (F.col("pos") + 0.5) / (F.col("pos") + F.col("neg") + 1), pos / n
@@ -259,7 +259,7 @@ def mine(sample: DataFrame) -> Lexicon:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([[{"term": t, "stem": s} for t, s in sorted(_keys(x) & counts.keys())] for x in batch.column(0).to_pylist()], pa.list_(pa.struct([("term", pa.string()), ("stem", pa.bool_())])))], ["found"])
 
-    texts = sample.where("toxic = 1").select("text").mapInArrow(having, "found array<struct<term:string,stem:boolean>>").collect()
+    texts = in_batches(sample.where("toxic = 1").select("text"), having, "found array<struct<term:string,stem:boolean>>").collect()
     terms = _pick(counts, [[(x.term, x.stem) for x in r.found] for r in texts], pos, neg)
 
     def alike(batches):
@@ -268,7 +268,7 @@ def mine(sample: DataFrame) -> Lexicon:
             words = {w for x in batch.column(0).to_pylist() for w in words_of(x or "")[1]}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(w for w in words if (h := lexicon.find(w)) and h[0]), pa.string())], ["word"])
 
-    clean = sample.where("toxic = 0").select("text").mapInArrow(alike, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(CANDIDATES)
+    clean = in_batches(sample.where("toxic = 0").select("text"), alike, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(CANDIDATES)
     return Lexicon(terms, frozenset(r.word for r in clean.collect()))
 
 
@@ -332,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             x = _features(batch, 0, read)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(x.shape[1])), batch.column(1).cast(pa.int32())], [*FEATURES, "toxic"])
 
-    rows = sample.mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").collect()  # SAMPLE rows of a few numbers
+    rows = in_batches(sample, run, ", ".join(f"{f} double" for f in FEATURES) + ", toxic int").collect()  # SAMPLE rows of a few numbers
     data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(-1, len(FEATURES) + 1)
     if not len(data) or data[:, -1].min() == data[:, -1].max():
         return Model(lexicon, np.array([-4.0] + [0.0] * len(FEATURES)))
@@ -352,7 +352,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(_features(batch, at, read)))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return in_batches(docs, run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

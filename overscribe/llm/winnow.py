@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, materialize, same_row, small, text_hash
+from .common import DOC_COLUMNS, in_batches, materialize, same_row, small, text_hash
 
 #: Words of a window; words of a gram; grams from which the least one is kept.
 SPAN, K = 13, 9
@@ -33,7 +33,7 @@ W = SPAN - K + 1
 #: Bits of the filter, as a power of two, and of one of the blocks that it is put together from.
 FILTER_BITS, BLOCK_BITS = 24, 15
 #: Known words of which each task keeps the hash.
-MEMO = 400_000
+MEMO = 150_000
 #: Share of hit words, as 1 in so many, from which a document is contaminated.
 SHARE = 20
 
@@ -131,7 +131,7 @@ def _text_grams(make, whole):
 def item_grams(items: DataFrame) -> DataFrame:
     """(item_id string, h, k, pos, lead, ctx) of the items."""
     run = _text_grams(lambda: (Grams([]), None), True)
-    out = items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, f"item_id string, n_words long, grams array<{_GRAM}>")
+    out = in_batches(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), run, f"item_id string, n_words long, grams array<{_GRAM}>")
     return out.select("item_id", F.explode("grams").alias("g")).select("item_id", "g.*")
 
 
@@ -153,7 +153,7 @@ def bloom_filter(hashes: DataFrame) -> np.ndarray:
         return pdf.head(1).assign(bits=out.tobytes())
 
     schema = "block long, bits binary"
-    rows = hashes.select("h").mapInArrow(partial, schema).groupBy("block").applyInPandas(merged, schema).collect()
+    rows = in_batches(hashes.select("h"), partial, schema).groupBy("block").applyInPandas(merged, schema).collect()
     out = np.zeros((1 << (FILTER_BITS - 3)) // width * width, dtype=np.uint8).reshape(-1, width)
     for r in rows:
         out[r.block] = np.frombuffer(r.bits, dtype=np.uint8)
@@ -200,11 +200,11 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     filtered = spark.sparkContext.broadcast(bloom_filter(known))
     run = _text_grams(lambda: (Grams(short), filtered.value), False)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash().alias("row_hash"), "text")
-    rows = materialize(rows.mapInArrow(run, f"row long, doc_id long, row_hash long, n_words long, grams array<{_GRAM}>"), "grams")
+    rows = materialize(in_batches(rows, run, f"row long, doc_id long, row_hash long, n_words long, grams array<{_GRAM}>"), "grams")
     cand = rows.select("row", F.explode("grams").alias("g")).select("row", "g.*")
     known = known.select("h", "k", "item_id", F.col("lead").alias("ilead"), F.col("ctx").alias("ictx")).distinct()
     known = small(materialize(known, "known"), 100_000)
-    spans = cand.join(known, ["h", "k"]).mapInArrow(_verified, "row long, start int, end int, item_id string")
+    spans = in_batches(cand.join(known, ["h", "k"]), _verified, "row long, start int, end int, item_id string")
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("ids"))
     union = F.aggregate(
         "spans",

@@ -17,12 +17,13 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
 from .sentencepiece import MARK, MODEL, NORMAL, load
 
 #: Words, and single marks, as they are looked up.
 WORDS = re.compile(r"\w+|[^\w\s]")
 #: Words of which each task keeps the count, and letters up to which it keeps one.
-MEMO, LONGEST = 400_000, 64
+MEMO, LONGEST = 150_000, 64
 
 
 @dataclass
@@ -117,4 +118,4 @@ def token_counts(docs: DataFrame, path: str = MODEL) -> DataFrame:
                         del memo[w]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_tokens long, n_unknown long")
