@@ -10,7 +10,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(x):
     if x is None or (isinstance(x, float) and math.isnan(x)) or str(x) in ("<NA>", "NaT"):
         return None
-    return x.item() if hasattr(x, "item") else x
+    x = x.item() if hasattr(x, "item") else x
+    return int(x) if isinstance(x, float) and x.is_integer() else x  # a column of whole numbers with nulls is read as floats
 
 
 def rows(pdf):
