@@ -30,11 +30,11 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 EVENT_SQL = """ev as (select event_id as seq, case event_type when 'signup' then 'add' when 'purchase' then 'replace' when 'error' then 'undo' end as action, 'b' || user_id % 997 as batch, 'file-' || user_id as d,
     cast(coalesce(cast(json_extract(props, '$.k') as bigint), 0) as varchar) as k from events where event_type in ('signup', 'purchase', 'error')),
 adds as (select * from ev a where action = 'add' and not exists (select 1 from ev u where u.action = 'undo' and u.batch = a.batch and u.seq > a.seq)),
-lastrep as (select k as target, arg_max(d, seq) as by, max(seq) as at from ev where action = 'replace' group by k),
-rep as (select * from lastrep r where not exists (select 1 from ev u where u.action = 'undo' and u.d = r.by and u.seq > r.at))"""
+lastrep as (select k as target, arg_max(d, seq) as d_by, max(seq) as s from ev where action = 'replace' group by k),
+rep as (select * from lastrep r where not exists (select 1 from ev u where u.action = 'undo' and u.d = r.d_by and u.seq > r.s))"""
 
 
-@query(f"with {LIB_SQL}, {EVENT_SQL}, al as (select doc_id, title, date from lib union all select d, 't' || seq, '2020-01-01' from adds) select doc_id, title, date, by as replaced_by from al left join rep on target = doc_id")
+@query(f"with {LIB_SQL}, {EVENT_SQL}, al as (select doc_id, title, date from lib union all select d, 't' || seq, '2020-01-01' from adds) select doc_id, title, date, d_by as replaced_by from al left join rep on target = doc_id")
 def u06_replay(spark: SparkSession, d: str) -> DataFrame:
     return lib.replay(library(spark, d), events(spark, d)).select("doc_id", "title", "date", "replaced_by")
 
@@ -50,7 +50,7 @@ def u05_history(spark: SparkSession, d: str) -> DataFrame:
     return lib.history(events(spark, d))
 
 
-@query(f"with {EVENT_SQL}, l as (select batch, max(seq) as at, list_sort(list(d)) as ids from ev where action = 'add' and batch not in (select batch from ev where action = 'undo') group by batch) select batch, array_to_string(ids, ',') as doc_ids from l order by at desc limit 1")
+@query(f"with {EVENT_SQL}, l as (select batch, max(seq) as s, list_sort(list(d)) as ids from ev where action = 'add' and batch not in (select batch from ev where action = 'undo') group by batch) select batch, array_to_string(ids, ',') as doc_ids from l order by s desc limit 1")
 def w09_last_batch(spark: SparkSession, d: str) -> DataFrame:
     return lib.undo_last(events(spark, d), 0).select("batch", F.array_join("doc_ids", ",").alias("doc_ids"))
 
