@@ -132,11 +132,12 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str | Column, path: s
     n, good = hosts.agg(F.sum("n"), F.sum("good")).first()
     mean = good / n if n else 0.5
     a = _strength(hosts, F.lit(mean))
-    hosts = hosts.select(F.col("host").alias("_h"), ((F.lit(a * mean) + F.col("good")) / (a + F.col("n"))).alias("host_quality"))
+    hosts = hosts.select(F.col("host").alias("_h"), ((F.lit(a * mean) + F.col("good")) / (a + F.col("n"))).alias("host_quality"), F.col("n").alias("_hn"), F.col("good").alias("_hgood"))
     paths = materialize(paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).drop("_h"), "sites")
     b = _strength(paths, F.col("host_quality"))
-    paths = paths.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_quality", F.col("n").alias("_n"), F.col("good").alias("_good"))
+    paths = paths.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_quality", "_hn", "_hgood", F.col("n").alias("_n"), F.col("good").alias("_good"))
     rows = rows.join(small(paths), F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    others = (b * F.col("host_quality") + F.col("_good") - F.col("p")) / (b + F.col("_n") - 1)
+    above = (F.lit(a * mean) + F.col("_hgood") - F.col("p")) / (a + F.col("_hn") - 1)
+    others = (b * above + F.col("_good") - F.col("p")) / (b + F.col("_n") - 1)
     quality = _sigmoid(_logit(others) + F.col("evidence"))
     return rows.select("doc_id", "evidence", "host_quality", others.alias("path_quality"), quality.alias("quality"), (quality >= 0.5).alias("kept"))
