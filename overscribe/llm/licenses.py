@@ -205,8 +205,11 @@ def train(ordinary: list[str]) -> Model:
 def ordinary_paragraphs(docs: DataFrame) -> list[str]:
     """Of at most SAMPLE documents, those with the least hash of their doc_id: lines without cues, at most a few each."""
     cue = "(?i)licen[sc]|copyright|copyleft|rights reserved|permission|warrant|redistribut|gnu|creative commons"
-    few = docs.where("doc_id is not null").select("doc_id", F.slice(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(cue) & (F.length(x) < 2000)), 1, 4).alias("lines"))
-    return [x for r in few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect() for x in r.lines or []]
+    chosen = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    few = few.select("doc_id", F.slice(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(cue) & (F.length(x) < 2000)), 1, 4).alias("lines"))
+    rows = few.orderBy("doc_id", "lines").limit(2 * SAMPLE).collect()  # more rows than ids only where ids repeat
+    return [x for r in rows for x in r.lines or []]
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
