@@ -317,6 +317,16 @@ def _slices(batch: pa.RecordBatch, chars: int = 4_000_000):
         yield batch.slice(start)
 
 
+def _id_columns(ids: list[bytes], low: int, high: int) -> tuple[pa.Array, pa.Array]:
+    """(ids, number of ids between low and high) of each text."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    buffer = b"".join(ids)
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(buffer)])
+    numbers = np.frombuffer(buffer, dtype="<i4")
+    bytes_to = np.concatenate([[0], np.cumsum((numbers >= low) & (numbers <= high) & (low >= 0))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(np.diff(bytes_to[offsets]), pa.int64())
+
+
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """text, doc_id, ids (array<int>) and n_bytes (ids that are single bytes) of every row; a null or empty text has none."""
     shared = _shared(docs, model)
@@ -327,13 +337,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for batch in _slices(whole):
                 ids = encoder([t or "" for t in batch.column(0).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                buffer = b"".join(ids)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(buffer)])
-                numbers = np.frombuffer(buffer, dtype="<i4")
-                bytes_to = np.concatenate([[0], np.cumsum((numbers >= low) & (numbers <= high) & (low >= 0))])
-                n = pa.array(np.diff(bytes_to[offsets]), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), values), n], ["text", "doc_id", "ids", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_id_columns(ids, low, high)], ["text", "doc_id", "ids", "n_bytes"])
 
     return in_batches(docs.select("text", "doc_id"), run, "text string, doc_id long, ids array<int>, n_bytes long")
 
@@ -357,7 +361,23 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_pieces, n_bytes (pieces that are single bytes), exact (ids decode to the text) of every row."""
+    """doc_id, ids, n_pieces, n_bytes (pieces that are single bytes), exact (ids decode to the text) of every row.
+
+    Encodes and decodes in one pass: no text goes back to Spark, and each task needs one Python worker.
+    """
     model = load(path)
-    out = decode(encode(docs, model), model)
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    shared = _shared(docs, model)
+    low, high = min(model.byte_ids), max(model.byte_ids)
+
+    def run(batches):
+        m = shared.value
+        encoder = Encoder(m)
+        for whole in batches:
+            for batch in _slices(whole):
+                texts = [t or "" for t in batch.column(0).to_pylist()]
+                ids = encoder(texts)
+                exact = pa.array([decode_ids(x, m) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(1), *_id_columns(ids, low, high), exact], ["doc_id", "ids", "n_bytes", "exact"])
+
+    out = in_batches(docs.select("text", "doc_id"), run, "doc_id long, ids array<int>, n_bytes long, exact boolean")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "exact")

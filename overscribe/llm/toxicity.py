@@ -36,7 +36,7 @@ STEMS = range(4, 10)
 #: Words to each side of a hit that make its context.
 WINDOW = 8
 #: Words of which each task keeps the verdict, and deterministic states it keeps.
-MEMO, STATES = 150_000, 50_000
+MEMO, STATES = 150_000, 5_000
 
 QUOTES = "\"“”„«»‚‘’‹›"
 EDGES = string.punctuation + QUOTES + "…–—¡¿"

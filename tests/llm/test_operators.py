@@ -90,6 +90,10 @@ def test_round_trip(spark, docs):
     out = sp.round_trip(awkward(spark).union(docs.select("*", *(F.lit("") for _ in range(5))))).collect()
     assert len(out) == 15 + docs.count() and all(r.exact and r.n_pieces == len(r.ids) for r in out)
     assert sp.round_trip(docs.where("false")).count() == 0
+    m = sp.load()
+    both = sp.decode(sp.encode(awkward(spark), m), m).collect()
+    assert [r.decoded for r in both] == [r.text or "" for r in both]
+    assert [r.ids for r in both] == [r.ids for r in out[:15]]
 
 
 def test_token_counts_like_the_library(spark, docs):
