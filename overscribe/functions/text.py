@@ -157,7 +157,9 @@ def strip_furniture(text: Column | str, min_repeats: int = 4, max_len: int = 120
     forms = F.filter(F.transform(F.filter(lines, lambda s: strip(s) != ""), norm), lambda s: (s != "") & (F.length(s) <= max_len))
     s = F.sort_array(forms)
     often = F.array_distinct(F.filter(F.zip_with(s, F.slice(s, F.lit(min_repeats), F.greatest(F.size(s) - min_repeats + 1, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
-    return F.array_join(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(often, norm(x)), F.lit(False))), "\n")
+    # Bound by a lambda, so that it is worked out once a text and not once a line.
+    kept = F.transform(F.array(often), lambda o: F.filter(lines, lambda x: ~F.coalesce(F.array_contains(o, norm(x)), F.lit(False))))
+    return F.array_join(kept[0], "\n")
 
 
 def safe_name(label: Column | str) -> Column:
