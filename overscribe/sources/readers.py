@@ -115,7 +115,12 @@ def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path, file, title, text of document files. Plain ones are named by their first line, others by their name."""
     reader = spark.read.format("binaryFile")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).withColumn("file", F.element_at(F.split("path", "/"), -1))
-    rows = rows.select("path", "file", file_text("file", "content").alias("raw"))
+    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            yield pd.DataFrame({"path": x["path"], "file": x["file"], "raw": [_plain(n, bytes(d)) for n, d in zip(x["file"], x["content"], strict=True)]})
+
+    # A plan node of its own: as a column, the parser could be drawn into the expressions below.
+    rows = rows.select("path", "file", "content").mapInPandas(parsed, "path string, file string, raw string")
     named = tx.title_and_text("raw")
     plain = F.lower(F.col("file")).rlike(r"\.(txt|md)$")
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
