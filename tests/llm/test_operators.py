@@ -267,6 +267,63 @@ def test_line_dedup(spark, docs):
     assert len(out) == 15 and lines.dedup(df.where("false")).count() == 0
 
 
+def test_line_dedup_by_edit_similarity_alone(spark, docs):
+    rng = np.random.default_rng(5)
+    vocabulary = ["the", "of", "and", *(f"w{i}" for i in range(300))]
+    made = []
+    for i, n in enumerate([*range(3, 30), 42, 61, 80, 120, 170] * 3):
+        line = [vocabulary[j] for j in np.minimum(rng.geometric(0.02, n) - 1, 302)]
+        made.append(" ".join(line))
+        for d in {1, n // 10, n // 5}:  # d edits of words, of which n // 5 at most make a link
+            copy = list(line)
+            for at in rng.choice(n, min(d, n), replace=False):
+                copy[at] = ["", f"new{i}", f"{copy[at]} more{i}"][rng.integers(3)]
+            made.append(" ".join(copy))
+    made += ["a b c d e f", "a b c d e x"]
+    texts = [r.text for r in docs.limit(60).collect()] + ["\n".join(made[i::20]) for i in range(20)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    split = {(d, i): tuple(winnow.split_words(x.encode())) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n"))}
+    split = {at: w if len(w) >= 3 else () for at, w in split.items()}
+    distinct = sorted({w for w in split.values() if w}, key=len)
+    parent = {w: w for w in distinct}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    linked = 0
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if 5 * (len(b) - len(a)) > len(b):
+                break
+            if 5 * len(set(b).difference(a)) <= len(b) and 5 * edits(a, b) <= len(b):
+                parent[find(a)] = find(b)
+                linked += 1
+    assert linked > 150
+    seen, kept = set(), collections.defaultdict(list)
+    for (d, i), w in split.items():
+        if not w or find(w) not in seen:
+            kept[d].append(texts[d].split("\n")[i])
+        seen.add(w and find(w))
+    before = lines.BUCKET
+    for bucket in (before, 1):
+        lines.BUCKET = bucket
+        try:
+            got = {r.doc_id: r.text for r in lines.dedup(df).collect()}
+        finally:
+            lines.BUCKET = before
+        assert got == {d: "\n".join(kept[d]) for d in range(len(texts))}
+
+
 # 8
 
 
