@@ -151,10 +151,10 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, fp, component_id) of every row.
+def _near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, fp, root, component_id) of every row.
 
-    component_id is the least doc_id among the documents that links reach,
+    root is the least fingerprint of the component and names it. component_id is the least doc_id among the documents that links reach,
     the document itself included; null only where all of these are null.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
@@ -162,8 +162,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = materialize(components(links(fps), "a", "b"), "components")
     grouped = fps.join(comp, fps.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialize(grouped.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "of")
-    return rows.join(of, rows.fp == F.col("_fp")).select("doc_id", "row_hash", "fp", "component_id")
+    of = materialize(grouped.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "of")
+    return rows.join(of, rows.fp == F.col("_fp")).select("doc_id", "row_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, fp, component_id) of every row; see :func:`_near_rows`."""
+    return _near_rows(docs).select("doc_id", "row_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -171,10 +176,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat as a whole count once. Rows without a doc_id come last.
     """
-    found = materialize(near_duplicates(docs), "near")
+    found = materialize(_near_rows(docs), "near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
-    one = found.groupBy("component_id").agg(F.min(order).alias("w")).select(F.col("component_id").alias("_c"), F.col("w.doc_id").alias("_d"), F.col("w.row_hash").alias("_h"))
-    lost = found.join(one, found.component_id.eqNullSafe(F.col("_c"))).where(~(found.doc_id.eqNullSafe(F.col("_d")) & (found.row_hash == F.col("_h"))))
+    one = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("root").alias("_c"), F.col("w.doc_id").alias("_d"), F.col("w.row_hash").alias("_h"))
+    lost = found.join(one, found.root == F.col("_c")).where(~(found.doc_id.eqNullSafe(F.col("_d")) & (found.row_hash == F.col("_h"))))
     lost = materialize(lost.select("doc_id", "row_hash").distinct(), "lost")
     again = materialize(found.groupBy("doc_id", "row_hash").count().where("count > 1").select("doc_id", "row_hash"), "again")
     docs = docs.select(*DOC_COLUMNS, text_hash().alias("row_hash"))

@@ -387,6 +387,13 @@ def test_keep_one(spark):
     assert sum(not (t or "").strip() for _, t in texts) == 1 and golay.keep_one(df.where("false")).count() == 0
 
 
+def test_keep_one_of_a_component_and_not_of_an_id(spark):
+    unlike = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, t, "", "", 0) for t in unlike[:3]] + [(7, t, "", "", 0) for t in unlike[3:]] + [(8, unlike[3], "", "", 0)]
+    kept = golay.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted(r.text for r in kept) == unlike and all(r.doc_id in (None, 7) for r in kept)
+
+
 # 9
 
 
