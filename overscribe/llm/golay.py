@@ -16,6 +16,11 @@ out: its fingerprints are linked through the words that differ from them in at
 most one bit. Two fingerprints are within two bits just if they share such a
 word, and no word has more than 65 of them, so this way is exact as well and
 its work per fingerprint has a fixed bound.
+
+That is op8's query. The pipeline's stage, keep_one, links texts by the Jaccard
+similarity of their five-word shingles instead (near_texts), as near copies
+differ in more bits than the Golay keys reach. Candidates share a band of least
+hashes, and shingles decide.
 """
 
 from __future__ import annotations
@@ -36,6 +41,11 @@ BUCKET = 64
 #: Shingles hashed at once; bounds the memory that a very long text takes.
 BLOCK = 8192
 
+#: Band keys of a text, and least hashes that each is made of.
+BANDS, ROWS = 16, 4
+#: What tells the hash functions of the bands apart.
+MIXERS = np.random.default_rng(20).integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64)
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 #: (lowest bit, bits) of the segments.
@@ -171,12 +181,101 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _near_rows(docs).select("doc_id", "row_hash", "fp", "component_id")
 
 
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The different hashes of the text's word shingles, in order; a text of fewer words is one shingle."""
+    words = text.translate(LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    if len(words) < size:
+        return np.array([digest(b" ".join(words), 42)] if words else [], dtype=np.uint64)
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+    return np.unique(np.fromiter((digest(x, 42) for x in shingles), dtype=np.uint64, count=len(shingles)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingles: each of ROWS least values under different hash functions."""
+    out = np.zeros(BANDS, dtype=np.uint64)
+    for band in range(BANDS):
+        for row in range(ROWS):
+            h = (hashes ^ MIXERS[band, row]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out[band : band + 1] ^= (h ^ (h >> np.uint64(29))).min()
+            out[band : band + 1] *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return (out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, row_hash, set, n, bands) of every row: set names the set of n shingles; bands is null without words."""
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(t.as_py() or b"", size) for t in batch.column(2).cast(pa.binary())]
+            sets = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+            bands = pa.array([band_keys(h) if len(h) else None for h in found], pa.list_(pa.int64()))
+            n = pa.array([len(h) for h in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets, n, bands], ["doc_id", "row_hash", "set", "n", "bands"])
+
+    return in_batches(docs.select("doc_id", text_hash().alias("row_hash"), "text"), run, "doc_id long, row_hash long, set binary, n int, bands array<long>")
+
+
+def alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose shingles in common are that share of all of both."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, x, y = batch.columns
+            ok = []
+            for i, (s, t) in enumerate(zip(x.cast(pa.binary()), y.cast(pa.binary()), strict=True)):
+                s, t = shingle_hashes(s.as_py() or b"", size), shingle_hashes(t.as_py() or b"", size)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= similarity * (len(s) + len(t) - both) - 1e-9:
+                    ok.append(i)
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(ok, pa.int64())), b.take(pa.array(ok, pa.int64()))], ["a", "b"])
+
+    wanted = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
+    wanted = materialize(sets.join(wanted, F.col("set") == F.col("_k")).select("at.doc_id", "at.row_hash", "set"), "wanted")
+    texts = same_row(docs.select("doc_id", "text", text_hash().alias("row_hash")), small(wanted), "inner").select("set", "text").dropDuplicates(["set"])
+    texts = materialize(texts, "texts")
+    return in_batches(pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y"), run, "a binary, b binary")
+
+
+def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row_hash, root) of every row: root is the same for texts that links reach.
+
+    Texts are linked if the Jaccard similarity of their sets of ``size``-word
+    shingles is ``similarity`` or more. Two of 0.8 share one of their band keys
+    with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998, and more alike
+    ones with a higher one; what meets is compared shingle by shingle.
+    """
+    rows = materialize(shingle_sets(docs, size), "shingles")
+    at = F.min(F.struct("doc_id", "row_hash")).alias("at")
+    sets = materialize(rows.groupBy("set").agg(at, F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    keys = sets.select("set", "n", F.explode("bands").alias("band"))
+    sizes = keys.groupBy("band").agg(F.count("*").alias("count"), F.min("set").alias("hub")).where("count > 1")
+    shared = materialize(keys.join(sizes, "band"), "shared")
+    few, many = shared.where(F.col("count") <= BUCKET), shared.where(F.col("count") > BUCKET)
+    long_enough = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.set") < F.col("y.set")) & long_enough)
+    pairs = pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+    to_hub = many.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    pairs = materialize(pairs.union(to_hub).distinct(), "pairs")
+    edges = materialize(alike(docs, pairs, sets, size, similarity), "links")
+    comp = materialize(components(edges, "a", "b"), "components")
+    if many.limit(1).count():
+        rest = many.join(comp, F.col("set") == F.col("node"), "left").select("band", "set", "n", F.coalesce("root", "set").alias("root"))
+        rest = materialize(rest, "rest")
+        across = rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & long_enough)
+        across = materialize(across.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "across")
+        if across.limit(1).count():
+            comp = materialize(components(edges.union(alike(docs, across, sets, size, similarity)), "a", "b"), "components")
+    return rows.join(comp, rows.set == comp.node, "left").select("doc_id", "row_hash", F.coalesce("root", "set").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of one document for each component: that with the least doc_id, then the least text hash.
+    """The rows of one document for each group of :func:`near_texts`: that with the least doc_id, then the least text hash.
 
     Rows that repeat as a whole count once. Rows without a doc_id come last.
     """
-    found = materialize(_near_rows(docs), "near")
+    found = materialize(near_texts(docs), "near")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
     one = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("root").alias("_c"), F.col("w.doc_id").alias("_d"), F.col("w.row_hash").alias("_h"))
     lost = found.join(one, found.root == F.col("_c")).where(~(found.doc_id.eqNullSafe(F.col("_d")) & (found.row_hash == F.col("_h"))))

@@ -394,6 +394,50 @@ def test_keep_one_of_a_component_and_not_of_an_id(spark):
     assert sorted(r.text for r in kept) == unlike and all(r.doc_id in (None, 7) for r in kept)
 
 
+def test_near_texts_by_shingles(spark, docs):
+    rng, made = np.random.default_rng(3), []
+    for i, n in enumerate([30, 60, 120, 300, 800] * 8):
+        words = [f"w{j}" for j in rng.integers(0, 5000, n)]
+        for edits in range(0, max(2, n // 40) + 2):
+            copy = list(words)
+            for at in rng.choice(n, edits, replace=False):
+                copy[at] = f"new{i}"
+            made.append(" ".join(copy))
+    texts = [r.text for r in docs.collect()] + made
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = WS.findall(ascii_lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                linked += a != sets[j]
+                parent[find(i)] = find(j)
+    assert linked > 50
+    want = collections.defaultdict(set)
+    for i in range(len(texts)):
+        want[find(i)].add(i)
+    before = golay.BUCKET
+    for bucket in (before, 1):
+        golay.BUCKET = bucket
+        try:
+            got = collections.defaultdict(set)
+            for r in golay.near_texts(df).collect():
+                got[bytes(r.root)].add(r.doc_id)
+        finally:
+            golay.BUCKET = before
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 # 9
 
 
