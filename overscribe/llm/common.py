@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,12 +20,23 @@ BROADCAST_ROWS = 500_000
 ARROW_ROWS = 1_000
 
 
-def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with batches of ARROW_ROWS rows from now on in this session, if they were larger."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
-        conf.set(key, ARROW_ROWS)
-    return df.mapInArrow(run, schema)
+def in_batches(df: DataFrame, run, schema, rows: int = ARROW_ROWS) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of so many rows. Python cuts them: the session's own setting stays as it is."""
+
+    def cut(batches):
+        def parts():
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows)
+
+        return run(parts())
+
+    return df.mapInArrow(cut, schema)
+
+
+def id_type(docs: DataFrame) -> str:
+    """The type of doc_id, for schemas of results."""
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir() was given.
+
+    Where neither is set a temporary one is made, but only with a local master, which has no other machines.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="overscribe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

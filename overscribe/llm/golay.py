@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, in_batches, materialize, same_row, small, text_hash
+from .common import DOC_COLUMNS, id_type, in_batches, materialize, same_row, small, text_hash
 from .components import components
 
 #: Differing bits up to which fingerprints are linked. The keys below are made for two.
@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = pa.array([fingerprint(t.as_py() or b"") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "row_hash", "fp"])
 
-    return in_batches(docs.select("doc_id", text_hash().alias("row_hash"), "text"), run, "doc_id long, row_hash long, fp long")
+    return in_batches(docs.select("doc_id", text_hash().alias("row_hash"), "text"), run, f"doc_id {id_type(docs)}, row_hash long, fp long")
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             n = pa.array([len(h) for h in found], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets, n, bands], ["doc_id", "row_hash", "set", "n", "bands"])
 
-    return in_batches(docs.select("doc_id", text_hash().alias("row_hash"), "text"), run, "doc_id long, row_hash long, set binary, n int, bands array<long>")
+    return in_batches(docs.select("doc_id", text_hash().alias("row_hash"), "text"), run, f"doc_id {id_type(docs)}, row_hash long, set binary, n int, bands array<long>")
 
 
 def alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches
+from .common import id_type, in_batches
 
 #: Notices by which licences are known.
 TEMPLATES = {
@@ -233,7 +233,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
             kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("confidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "hits"])
 
-    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, hits array<struct<line:int,family:string,confidence:double>>")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, hits array<struct<line:int,family:string,confidence:double>>")
 
 
 def licenses(docs: DataFrame) -> DataFrame:

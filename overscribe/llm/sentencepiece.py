@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import in_batches
+from .common import id_type, in_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -339,7 +339,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 ids = encoder([t or "" for t in batch.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_id_columns(ids, low, high)], ["text", "doc_id", "ids", "n_bytes"])
 
-    return in_batches(docs.select("text", "doc_id"), run, "text string, doc_id long, ids array<int>, n_bytes long")
+    return in_batches(docs.select("text", "doc_id"), run, f"text string, doc_id {id_type(docs)}, ids array<int>, n_bytes long")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -379,5 +379,5 @@ def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 exact = pa.array([decode_ids(x, m) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(1), *_id_columns(ids, low, high), exact], ["doc_id", "ids", "n_bytes", "exact"])
 
-    out = in_batches(docs.select("text", "doc_id"), run, "doc_id long, ids array<int>, n_bytes long, exact boolean")
+    out = in_batches(docs.select("text", "doc_id"), run, f"doc_id {id_type(docs)}, ids array<int>, n_bytes long, exact boolean")
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_bytes", "exact")

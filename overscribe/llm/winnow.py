@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, in_batches, materialize, same_row, small, text_hash
+from .common import DOC_COLUMNS, id_type, in_batches, materialize, same_row, small, text_hash
 
 #: Words of a window; words of a gram; grams from which the least one is kept.
 SPAN, K = 13, 9
@@ -200,7 +200,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     filtered = spark.sparkContext.broadcast(bloom_filter(known))
     run = _text_grams(lambda: (Grams(short), filtered.value), False)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash().alias("row_hash"), "text")
-    rows = materialize(in_batches(rows, run, f"row long, doc_id long, row_hash long, n_words long, grams array<{_GRAM}>"), "grams")
+    rows = materialize(in_batches(rows, run, f"row long, doc_id {id_type(docs)}, row_hash long, n_words long, grams array<{_GRAM}>"), "grams")
     cand = rows.select("row", F.explode("grams").alias("g")).select("row", "g.*")
     known = known.select("h", "k", "item_id", F.col("lead").alias("ilead"), F.col("ctx").alias("ictx")).distinct()
     known = small(materialize(known, "known"), 100_000)

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_batches
+from .common import id_type, in_batches
 from .sentencepiece import MARK, MODEL, NORMAL, load
 
 #: Words, and single marks, as they are looked up.
@@ -118,4 +118,4 @@ def token_counts(docs: DataFrame, path: str = MODEL) -> DataFrame:
                         del memo[w]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, n_words long, n_tokens long, n_unknown long")
