@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as tx
 
@@ -51,18 +53,25 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     return [s for s in (x.strip() for x in out) if s]
 
 
-def sections_of(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    @pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t or "", size, overlap) for t in texts])
-
-    return run(text)
-
-
 def sections(docs: DataFrame, key: str, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, idx, content): page furniture goes first."""
-    cut = docs.select(key, sections_of(tx.strip_furniture(text), size, overlap).alias("_s"))
-    return cut.select(key, F.posexplode("_s").alias("idx", "content"))
+    """(key, idx, content): page furniture goes first. A null or empty text has no sections.
+
+    The splitter is a plan node of its own: as a column under a generator it
+    could be drawn into filters, where a Python function can't be evaluated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):  # so that the sections of few texts are in memory at once
+                batch = whole.slice(at, 200)
+                found = [split_text(t or "", size, overlap) for t in batch.column(1).to_pylist()]
+                rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                idx = pa.array([j for x in found for j in range(len(x))], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), idx, pa.array([s for x in found for s in x], pa.string())], [key, "idx", "content"])
+
+    rows = docs.select(key, tx.strip_furniture(text).alias("_t"))
+    schema = StructType([rows.schema[key], StructField("idx", IntegerType()), StructField("content", StringType())])
+    return rows.mapInArrow(run, schema)
 
 
 def with_point_id(rows: DataFrame, name: str = "source_file", idx: str = "idx") -> DataFrame:
