@@ -38,8 +38,12 @@ def _drop(x: Column, pattern: str, flags: str = "U") -> Column:
     return F.regexp_replace(x, f"(?{flags}){pattern}", "")
 
 
+#: Fixed value: white space of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column | str) -> Column:
-    return _drop(_c(x), r"^\s+|\s+$")
+    return F.trim(_c(x), F.lit(SPACES))
 
 
 def squeeze(x: Column | str) -> Column:
@@ -141,9 +145,13 @@ def doc_text(title: Column | str, text: Column | str, limit: int | None = None)
 
 def title_and_text(text: Column | str) -> Column:
     """struct(title, text) of a plain or Markdown file: the first line that is not blank, without #, and the rest."""
-    t = squeeze(F.coalesce(_c(text), F.lit("")))
-    first = F.split_part(t, F.lit("\n"), F.lit(1))
-    return F.struct(F.regexp_replace(first, r"(?U)^#+\s*", "").alias("title"), F.regexp_replace(F.substring(t, F.length(first) + 2, F.length(t)), r"(?U)^\s+", "").alias("text"))
+
+    def parts(t: Column) -> Column:
+        first = F.split_part(t, F.lit("\n"), F.lit(1))
+        return F.struct(F.regexp_replace(first, r"(?U)^#+\s*", "").alias("title"), F.ltrim(F.substring(t, F.length(first) + 2, F.length(t)), F.lit(SPACES)).alias("text"))
+
+    # Bound by a lambda, so that the text is squeezed once and not once for each use.
+    return F.transform(F.array(squeeze(F.coalesce(_c(text), F.lit("")))), parts)[0]
 
 
 def strip_furniture(text: Column | str, min_repeats: int = 4, max_len: int = 120) -> Column:

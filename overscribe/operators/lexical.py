@@ -20,16 +20,16 @@ def _saturated(tf: Column, n_terms: Column, avg: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_terms / avg))
 
 
-def statistics(docs: DataFrame, text: Column) -> DataFrame:
-    """One row: n documents, avg terms. Documents without terms count."""
-    return docs.select(F.size(tx.tokens(text)).alias("n_terms")).agg(F.count("*").alias("n"), F.avg("n_terms").alias("avg"))
-
-
 def index(docs: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(postings: key, term, weight; terms: term, idf, avg)."""
+    """(postings: key, term, weight; terms: term, idf, avg). Documents without terms count.
+
+    Documents are tokenised once: the numbers of terms and documents come from
+    the same counts, whose shuffle is reused.
+    """
     counts = term_counts(docs, key, text)
-    stats = F.broadcast(statistics(docs, text))  # one row
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats = df.agg(F.sum("cf").alias("_all")).crossJoin(docs.agg(F.count("*").alias("n")))
+    stats = F.broadcast(stats.select("n", (F.col("_all") / F.col("n")).alias("avg")))  # one row
     terms = df.crossJoin(stats).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg")
     postings = counts.join(terms, "term").select(key, "term", (F.col("idf") * _saturated(F.col("tf"), F.col("n_terms"), F.col("avg"))).alias("weight"))
     return postings, terms

@@ -60,24 +60,31 @@ def p05_pools(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(sampling.pool_of().alias("pool")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {LIB_SQL} select title, count(*) as n, cast(max(length(title)) as bigint) as len from lib group by title")
+@query(f"""with {LIB_SQL}, {CASE_SQL}, a as (select length(case_title) as a, count(*) as n from cases group by all), b as (select length(title) as b, count(*) as m from lib group by all)
+select cast(a as bigint) as a, cast(b as bigint) as b, n * m as pairs, round(case when a + b = 0 then 1 else 2.0 * least(a, b) / (a + b) end, 6) as bound from a, b""")
 def m03_length_bound(spark: SparkSession, d: str) -> DataFrame:
-    """Titles with their number and the length that bounds are made of."""
-    return library(spark, d).groupBy("title").agg(F.count("*").alias("n"), F.max(F.length("title")).cast("long").alias("len"))
+    """The bound that lengths set to the likeness of an incoming and a library title; lengths meet, not titles."""
+    a = cases(spark, d).groupBy(F.length("case_title").cast("long").alias("a")).agg(F.count("*").alias("n"))
+    b = library(spark, d).groupBy(F.length("title").cast("long").alias("b")).agg(F.count("*").alias("m"))
+    bound = F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(2.0 * F.least("a", "b") / (F.col("a") + F.col("b")))
+    return a.join(b, F.lit(True)).select("a", "b", (F.col("n") * F.col("m")).alias("pairs"), F.round(bound, 6).alias("bound"))
 
 
 @query(
     f"""with {LIB_SQL}, {CASE_SQL}, k as (select distinct {_TOKENS.format("case_title")} as w, case_title as a from cases), t as (select distinct title as b from lib),
-s as (select substr(b, 1, 1) as i, b from t), p as (select a, b from k join s on substr(a, 1, 1) = i where 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= 0.9),
+p as (select a, b from k, t where 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= 0.9),
 ca as (select a, b, c, count(*) as n from (select a, b, unnest(string_split(a, '')) as c from p) group by all), cb as (select a, b, c, count(*) as n from (select a, b, unnest(string_split(b, '')) as c from p) group by all),
 m as (select a, b, sum(least(ca.n, cb.n)) as m from ca join cb using (a, b, c) group by a, b)
 select a, b, round(2.0 * coalesce(m, 0) / (length(a) + length(b)), 6) as quick from p left join m using (a, b)"""
 )
 def m02_quick_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of an incoming title and a library title with the same first letter and nearly the same length: multiset overlap of characters."""
+    """Pairs of an incoming title and a library title of nearly the same length: multiset overlap of characters."""
     a = cases(spark, d).select(F.col("case_title").alias("a")).distinct()
     b = library(spark, d).select(F.col("title").alias("b")).distinct()
-    p = a.join(b, F.substring("a", 1, 1) == F.substring("b", 1, 1)).where(sim.length_bound(F.col("a"), F.col("b")) >= 0.9)
+    # Lengths meet first; only those that can reach the bound bring their titles.
+    la, lb = (x.select(F.length(c).alias(f"l{c}")).distinct() for x, c in ((a, "a"), (b, "b")))
+    meet = la.join(lb, 2.0 * F.least("la", "lb") >= 0.9 * (F.col("la") + F.col("lb")) - 1e-9)
+    p = a.join(F.broadcast(meet), F.length("a") == F.col("la")).join(b, F.length("b") == F.col("lb")).where(sim.length_bound(F.col("a"), F.col("b")) >= 0.9).select("a", "b")
 
     def counts(c: str) -> DataFrame:
         return p.select("a", "b", F.explode(F.split(c, "")).alias("c")).groupBy("a", "b", "c").agg(F.count("*").alias(f"n_{c}"))
@@ -175,9 +182,10 @@ select doc_id, first as first_date from b join g using (body) where first < date
 )
 def j11_identical_body(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose body is older than they are, with the day on which it first appeared. Groups are summed, never paired."""
-    b = library(spark, d).select("doc_id", "date", tx.norm_body("text").alias("body")).where("body <> ''").withColumn("k", F.md5("body"))
+    b = library(spark, d).select("doc_id", "date", tx.norm_body("text").alias("body")).where("body <> ''").select("doc_id", "date", F.md5("body").alias("k"))
+    b = b.repartition("k")  # once for both uses: the shuffle is reused, and bodies are normalised once
     first = b.groupBy("k").agg(F.min("date").alias("first_date"))
-    return b.select("doc_id", "date", "k").join(first, "k").where("first_date < date").select("doc_id", "first_date")
+    return b.join(first, "k").where("first_date < date").select("doc_id", "first_date")
 
 
 @query(

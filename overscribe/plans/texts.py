@@ -41,7 +41,7 @@ def t04_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TITLE_SQL = "lower(title)"
-for _p in (r"【[^】]*】", r"\[[^\]]*\]", r"^[^║|｜]{0,8}[║|｜]", r"(19|20)\d{2}\s*(年度?|學年度?)?", r"\b1[0-2]\d\s*(年度?|學年度?)", r"[春夏秋冬](季|學期|季班)?", r"第?[一二三四1-4]期", r"\d+(st|nd|rd|th)?", r"(spring|summer|fall|autumn|winter)", r"(更正|延長|延期|截止|最新|重要|公告|活動|徵求|招募|開放|報名)", r"[^\p{L}\p{M}\p{N}]+"):
+for _p in [*tx.TITLE_NOISE[:-1], r"[^\p{L}\p{M}\p{N}]+"]:
     _TITLE_SQL = f"regexp_replace({_TITLE_SQL}, '{_p}', '', 'gi')"
 
 

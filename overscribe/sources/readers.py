@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from .. import schemas
 from ..functions import text as tx
@@ -87,40 +86,58 @@ def best_runs(infos: DataFrame) -> DataFrame:
     return first_seen(infos, ["model", "free_json"], F.desc("conditions"), F.desc("run"))
 
 
-def _plain(name: str, data: bytes) -> str:
-    """The text of a file by its kind; a kind that can't be read is an error."""
+#: The part of an office file that holds its text, and the elements that end a line.
+OFFICE = {"docx": ("word/document.xml", {"p"}), "odt": ("content.xml", {"p", "h"})}
+
+
+def _office_lines(node: ElementTree.Element, ends: set[str]) -> Iterator[str]:
+    """The text below a node, with a line break where one of these elements ends. What XML has to escape stays escaped."""
+    yield escape(node.text or "")
+    for child in node:
+        yield from _office_lines(child, ends)
+        yield escape(child.tail or "")
+    if node.tag.rpartition("}")[2] in ends:
+        yield "\n"
+
+
+def _parsed(name: str, data: bytes, page_break: str, any_kind: bool) -> str:
+    """The text of a file by its kind; a kind that can't be read is an error, or plain text with any_kind."""
     kind = name.rsplit(".", 1)[-1].lower()
-    if kind in ("docx", "odt"):
-        member, end = ("word/document.xml", r"</w:p>") if kind == "docx" else ("content.xml", r"</text:(?:p|h)>")
+    if kind in OFFICE and not (any_kind and kind == "odt"):
+        member, ends = OFFICE[kind]
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return re.sub(r"<[^>]+>", "", re.sub(end, "\n", z.read(member).decode("utf-8")))
+            return "".join(_office_lines(ElementTree.fromstring(z.read(member)), ends))
     if kind == "pdf":
         try:
             import pypdf
         except ImportError as e:
             raise ValueError(f"no PDF reader is installed for {name}") from e
-        return "\n\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages)
-    if kind in ("txt", "md"):
+        return page_break.join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages)
+    if any_kind or kind in ("txt", "md"):
         return data.decode("utf-8", "ignore")
     raise ValueError(f"can't read {name}: PDF, docx, odt, txt and md can be read")
 
 
-@pandas_udf(StringType())
-def file_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for names, data in parts:
-        yield pd.Series([_plain(n, bytes(d)) for n, d in zip(names, data, strict=True)])
+def _read(spark: SparkSession, path: str, glob: str | None, page_break: str, any_kind: bool) -> DataFrame:
+    """path, file, raw. Parsed in a plan node of its own: as a column, the parser could be drawn into the expressions below."""
 
+    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in parts:
+            yield pd.DataFrame({"path": x["path"], "file": x["file"], "raw": [_parsed(n, bytes(d), page_break, any_kind) for n, d in zip(x["file"], x["content"], strict=True)]})
 
-def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, file, title, text of document files. Plain ones are named by their first line, others by their name."""
     reader = spark.read.format("binaryFile")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).withColumn("file", F.element_at(F.split("path", "/"), -1))
-    def parsed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in parts:
-            yield pd.DataFrame({"path": x["path"], "file": x["file"], "raw": [_plain(n, bytes(d)) for n, d in zip(x["file"], x["content"], strict=True)]})
+    return rows.select("path", "file", "content").mapInPandas(parsed, "path string, file string, raw string")
+
+
+def uploads(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path, file, text as the router takes it: pages apart by a blank line, and any kind that is not known as UTF-8 without what is none."""
+    return _read(spark, path, glob, "\n\n", True).withColumnRenamed("raw", "text")
 
-    # A plan node of its own: as a column, the parser could be drawn into the expressions below.
-    rows = rows.select("path", "file", "content").mapInPandas(parsed, "path string, file string, raw string")
+
+def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path, file, title, text of document files. Plain ones are named by their first line, others by their name."""
+    rows = _read(spark, path, glob, "\n", False)
     named = tx.title_and_text("raw")
     plain = F.lower(F.col("file")).rlike(r"\.(txt|md)$")
     stem = F.regexp_replace("file", r"\.[^.]*$", "")

@@ -27,10 +27,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"first\xff\nsecond")
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("word/document.xml", "<w:p><w:t>one</w:t></w:p><w:p>two</w:p>")
+        z.writestr("word/document.xml", '<w:d xmlns:w="urn:w"><w:p><w:t>one &amp; </w:t><w:t>only</w:t></w:p><w:p>two</w:p></w:d>')
     (tmp_path / "c.docx").write_bytes(buf.getvalue())
     got = {r.file: (r.title, r.text) for r in readers.files(spark, str(tmp_path)).collect()}
-    assert got == {"a.md": ("Title", "body x"), "b.txt": ("first", "second"), "c.docx": ("c", "one\ntwo")}
+    assert got == {"a.md": ("Title", "body x"), "b.txt": ("first", "second"), "c.docx": ("c", "one &amp; only\ntwo")}
+    (tmp_path / "d.log").write_bytes(b"any\xff kind")
+    assert {r.file: r.text for r in readers.uploads(spark, str(tmp_path), "*.log").collect()} == {"d.log": "any kind"}
 
 
 def test_events_missing_then_streamed(spark, tmp_path):
@@ -62,3 +64,15 @@ def test_router(spark):
     out, _ = router.route(new, "item", store, RouterConfig.app())
     got = {r.file: (r.decision, r.target_file) for r in out.collect()}
     assert got == {"same": ("NO_CHANGE", "dorm.txt"), "other": ("NEW_BULLETIN", None)}
+
+
+def test_sections_again_and_again(spark, data):
+    """Every section of every document, the same each time in one session."""
+    from overscribe.functions import text as tx
+    from overscribe.operators.chunk import sections, split_text
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    want = sorted((r.doc_id, i, s) for r in docs.select("doc_id", tx.strip_furniture("text").alias("t")).collect() for i, s in enumerate(split_text(r.t or "")))
+    for _ in range(3):
+        assert sorted(map(tuple, sections(docs, "doc_id").collect())) == want
+    assert sections(docs.where("false"), "doc_id").count() == 0
