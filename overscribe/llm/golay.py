@@ -38,6 +38,8 @@ from .components import components
 MAX_BITS = 2
 #: Fingerprints with one key up to which they are compared in pairs.
 BUCKET = 64
+#: Texts of a band with over BUCKET ones with which the others are compared while they are in different groups.
+HUBS = 16
 #: Shingles hashed at once; bounds the memory that a very long text takes.
 BLOCK = 8192
 
@@ -244,7 +246,11 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     Texts are linked if the Jaccard similarity of their sets of ``size``-word
     shingles is ``similarity`` or more. Two of 0.8 share one of their band keys
     with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998, and more alike
-    ones with a higher one; what meets is compared shingle by shingle.
+    ones with a higher one; what meets is compared shingle by shingle. Of a band
+    with over BUCKET texts each is compared with one, and, while they are in
+    different groups, with HUBS others, different ones for each band: its work is
+    in proportion to its size, and only a text that is alike with few of the
+    others of all its bands may miss them.
     """
     rows = materialize(shingle_sets(docs, size), "shingles")
     at = F.min(F.struct("doc_id", "row_hash")).alias("at")
@@ -263,8 +269,11 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     if many.limit(1).count():
         rest = many.join(comp, F.col("set") == F.col("node"), "left").select("band", "set", "n", F.coalesce("root", "set").alias("root"))
         rest = materialize(rest, "rest")
-        across = rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & long_enough)
-        across = materialize(across.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct(), "across")
+        # Other ones for each band: a grouped minimum for each of HUBS parts of its texts.
+        least = F.min(F.struct(F.xxhash64("band", "set").alias("o"), "set", "n", "root")).alias("h")
+        hubs = rest.groupBy("band", F.pmod(F.xxhash64("set"), F.lit(HUBS)).alias("part")).agg(least).select(F.col("band").alias("_b"), "h.*").alias("y")
+        across = rest.alias("x").join(hubs, (F.col("x.band") == F.col("y._b")) & (F.col("x.root") != F.col("y.root")) & long_enough)
+        across = materialize(across.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct(), "across")
         if across.limit(1).count():
             comp = materialize(components(edges.union(alike(docs, across, sets, size, similarity)), "a", "b"), "components")
     return rows.join(comp, rows.set == comp.node, "left").select("doc_id", "row_hash", F.coalesce("root", "set").alias("root"))

@@ -5,12 +5,18 @@ names added) to train a multinomial logistic regression on word n-grams,
 together with licensing language of no known family and with ordinary
 paragraphs of a bounded sample of the corpus. Its scores are calibrated by a
 temperature on variants held out; below the threshold that keeps apart what was
-held out of no family, a paragraph with licensing language is ``unknown``. A
-family is confirmed if the paragraph shares enough of a template's word pairs,
-else the paragraph is unknown as well.
-
-A paragraph is a line. One that has no n-gram of the model would get the bias
-alone, which means no licence, and is not scored.
+held out of no family, whole families held out among it, a paragraph with
+licensing language is ``unknown``. A family is confirmed if the paragraph shares
+enough of a template's word pairs, and of those that no other family has, else
+the paragraph is unknown as well.
+
+A paragraph is a run of neighbouring lines with cue words, the words of the
+templates that say something about licences; a blank line or one without a cue
+ends it. Long ones are looked at in windows. The lines of a paragraph are
+scored one by one as well: a line that is confirmed by itself counts by itself,
+and what its paragraph is confirmed as takes in its unknown lines. Lines
+without a cue hold no n-gram but such of PLAIN words and digits, which the
+model has from ordinary text as well; they are not scored.
 """
 
 from __future__ import annotations
@@ -91,6 +97,21 @@ UNKNOWN = [
     "Licensed to the buyer under a separate agreement.",
     "The copyright holder grants a license for evaluation only.",
 ]
+#: Ordinary prose with words of licences.
+PROSE = [
+    "The committee voted to license the new taxi drivers before the summer.",
+    "She lost her driving license on the way home and had to ask for another copy.",
+    "Nobody may enter the forest without the permission of the ranger.",
+    "The software was slow that morning and the files were gone.",
+    "They fought for the rights of the workers and for a fair agreement.",
+    "The author of the book lived near the public library.",
+    "The general spoke to the public about the conditions of the war.",
+    "A free version of the program ran on every machine in the school.",
+    "The state may revoke the license of a doctor who breaks the law.",
+    "Poetic license lets a writer change the order of events.",
+    "The publisher printed the work again after the war.",
+    "The source of the river lies beyond the border.",
+]
 NONE, OTHER = "none", "unknown"
 FAMILIES = [*TEMPLATES, OTHER, NONE]
 WORD = re.compile(r"[^\W_]+")
@@ -98,6 +119,8 @@ WORD = re.compile(r"[^\W_]+")
 PLAIN = frozenset("a an and any are as at be by can copy either file following for form free from has in is it its later may no not of on only or our part person possible see source subject that the this to under use version with without work you your".split())
 #: Ordinary documents from which negatives are taken, variants of each template, word pairs of a template that confirm it.
 SAMPLE, VARIANTS, CONFIRM = 500, 60, 0.5
+#: Words of a window over a long paragraph, and groups in which families are held out.
+WINDOW, FOLDS = 120, 3
 SEED = 11
 
 
@@ -149,12 +172,57 @@ class Model:
         return out
 
 
+    def found(self, lines: list[list[str]]) -> list[tuple[int, str, float]]:
+        """(line, family, confidence) of what a text says; of a paragraph of several lines its first one."""
+        out = []
+        for run in paragraphs(lines, self.cues):
+            single = [(i, *v) for i in run for v in [max(self.judge(windows(lines[i])), key=_weight)]]
+            if len(run) > 1:
+                whole = max(self.judge(windows([w for i in run for w in lines[i]])), key=_weight)
+                if _weight(whole)[0] == 2:
+                    single = [x for x in single if _weight(x[1:])[0] == 2]
+                    single = single if any(f == whole[0] for _, f, _ in single) else [(run[0], *whole), *single]
+            out += [x for x in single if x[1] != NONE]
+        return out
+
+
+def _weight(verdict: tuple[str, float]) -> tuple[int, float]:
+    """A family goes before unknown, and that before none."""
+    return (0 if verdict[0] == NONE else 1 if verdict[0] == OTHER else 2, verdict[1])
+
+
 _PAIRS = {f: [set(zip(w, w[1:], strict=False)) for w in map(words_of, t)] for f, t in TEMPLATES.items()}
 
 
+def _own(family: str) -> set[tuple[str, str]]:
+    """The word pairs that no other family has, and no unknown licensing language."""
+    others = [words_of(t) for f, ts in [*TEMPLATES.items(), (OTHER, UNKNOWN)] if f != family for t in ts]
+    return set().union(*_PAIRS[family]).difference(p for w in others for p in zip(w, w[1:], strict=False))
+
+
+_OWN = {f: [t & _own(f) for t in _PAIRS[f]] for f in TEMPLATES}
+
+
 def confirmed(words: list[str], family: str) -> bool:
+    """Whether the words share enough pairs with a template, and enough of those that tell its family."""
     pairs = set(zip(words, words[1:], strict=False))
-    return any(len(pairs & t) >= CONFIRM * len(t) for t in _PAIRS[family])
+    return any(own and len(pairs & own) >= CONFIRM * len(own) and len(pairs & t) >= CONFIRM * len(t) for t, own in zip(_PAIRS[family], _OWN[family], strict=True))
+
+
+def paragraphs(lines: list[list[str]], cues: frozenset[str]) -> list[list[int]]:
+    """The runs of neighbouring lines with cues."""
+    out: list[list[int]] = []
+    for i, words in enumerate(lines):
+        if not cues.isdisjoint(words):
+            if out and out[-1][-1] == i - 1:
+                out[-1].append(i)
+            else:
+                out.append([i])
+    return out
+
+
+def windows(words: list[str]) -> list[list[str]]:
+    return [words[at : at + WINDOW] for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2)]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -177,6 +245,7 @@ def train(ordinary: list[str]) -> Model:
     plain = plain[:2000] + [rng.choices(filler, k=12) for _ in range(200)]
     rows += [(w, len(FAMILIES) - 1, i % 4 == 0) for i, w in enumerate(plain)]
     rows += [(rng.choices(filler, k=8) + [rng.choice(stray)] + rng.choices(filler, k=8), len(FAMILIES) - 1, i % 4 == 0) for i in range(4 * len(stray))]
+    rows += [(variant(words_of(t), filler, rng), len(FAMILIES) - 1, i % 4 == 0) for t in PROSE for i in range(VARIANTS // 2)]
     vocabulary = sorted({g for t in [*sum(TEMPLATES.values(), []), *UNKNOWN] for g in grams(words_of(t))})
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(index) + 1))
@@ -187,23 +256,35 @@ def train(ordinary: list[str]) -> Model:
                 x[i, index[g]] = 1
     y = np.eye(len(FAMILIES))[[k for _, k, _ in rows]]
     held = np.array([h for _, _, h in rows])
-    w, step = np.zeros((x.shape[1], len(FAMILIES))), np.zeros((x.shape[1], len(FAMILIES)))
-    xt, yt = x[~held], y[~held]
-    rate = 4.0 / np.maximum(1, (xt**2).sum(axis=1).mean())
-    for _ in range(300):  # with momentum
-        step = 0.9 * step + rate * (xt.T @ (yt - softmax(xt @ w)) / len(xt) - 2e-5 * w)
-        w += step
+    w = _fit(x[~held], y[~held])
     logits, target = x[held] @ w, y[held].argmax(axis=1)
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(target)), target] + 1e-12).mean())
     p = softmax(logits / temperature)
     known = p[:, :-2].max(axis=1)
-    wrong = known[(target >= len(TEMPLATES)) & (p.argmax(axis=1) < len(TEMPLATES))]
+    wrong = [known[(target >= len(TEMPLATES)) & (p.argmax(axis=1) < len(TEMPLATES))]]
+    # What families of which nothing was learned look like.
+    kind = y.argmax(axis=1)
+    for fold in range(FOLDS):
+        gone = (kind % FOLDS == fold) & (kind < len(TEMPLATES))
+        strange = softmax(x[gone] @ _fit(x[~held & ~gone], y[~held & ~gone], 100) / temperature)[:, :-2].max(axis=1)
+        wrong.append(strange)
+    wrong = np.concatenate(wrong)
     threshold = min(0.9, max(0.5, float(np.quantile(wrong, 0.95)) if len(wrong) else 0.5))
     return Model(index, w, temperature, threshold, frozenset(stray))
 
 
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Weights of a multinomial logistic regression, by gradient steps with momentum."""
+    w = step = np.zeros((x.shape[1], y.shape[1]))
+    rate = 4.0 / np.maximum(1, (x**2).sum(axis=1).mean())
+    for _ in range(rounds):
+        step = 0.9 * step + rate * (x.T @ (y - softmax(x @ w)) / len(x) - 2e-5 * w)
+        w = w + step
+    return w
+
+
 def ordinary_paragraphs(docs: DataFrame) -> list[str]:
-    """Of at most SAMPLE documents, those with the least hash of their doc_id: lines without cues, at most a few each."""
+    """Of at most SAMPLE documents, those with the least hash of their doc_id: lines of under 2,000 characters without cues, at most a few each."""
     cue = "(?i)licen[sc]|copyright|copyleft|rights reserved|permission|warrant|redistribut|gnu|creative commons"
     chosen = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
@@ -213,7 +294,7 @@ def ordinary_paragraphs(docs: DataFrame) -> list[str]:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, hits: array of (line, family, confidence) of every row; a null or empty text has none."""
+    """doc_id, hits: array of (line, family, confidence) of every row; a null or empty text has none, rows that repeat have the same each."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(ordinary_paragraphs(docs)))  # the templates' size
 
     def run(batches):
@@ -225,10 +306,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 hits = []
                 low = (text or "").lower()
                 if not cues.isdisjoint(WORD.findall(low)):
-                    found = [(i, w) for i, w in ((i, WORD.findall(x)) for i, x in enumerate(low.split("\n"))) if not cues.isdisjoint(w)]
-                    for (i, _), (family, p) in zip(found, m.judge([w for _, w in found]), strict=True):
-                        if family != NONE:
-                            hits.append({"line": i, "family": family, "confidence": p})
+                    hits = [{"line": i, "family": f, "confidence": p} for i, f, p in m.found([WORD.findall(x) for x in low.split("\n")])]
                 out.append(hits)
             kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("confidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "hits"])
@@ -237,7 +315,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, licenses (families, sorted, comma-joined; empty for none), n_paragraphs, confidence (the least; null for none)."""
+    """doc_id, licenses (families, sorted, comma-joined; empty for none), n_paragraphs, confidence (the least; null for none).
+
+    A null or empty text has no licence; an empty table gives an empty result.
+    """
     hits = scan(docs)
     return hits.select(
         "doc_id",

@@ -15,6 +15,7 @@ up; the others are solved together, one position of all of them at a time.
 from __future__ import annotations
 
 import math
+import os
 import re
 import struct
 from dataclasses import dataclass
@@ -27,7 +28,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import id_type, in_batches
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model file, unless the environment names another one.
+MODEL = os.environ.get("OVERSCRIBE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 #: Fixed values of the model format: types of pieces, and the Unigram model's type.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE, UNIGRAM = 1, 2, 3, 4, 5, 6, 1
@@ -135,6 +137,8 @@ class Model:
 def load(path: str = MODEL) -> Model:
     """Read a model file. Only models that leave the text as it is, but for white space, are taken."""
     pieces, scores, types, kind, prefix = [], [], [], UNIGRAM, True
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no model file {path}: give its path, or name it in OVERSCRIBE_PIECE_MODEL")
     with open(path, "rb") as f:
         data = f.read()
     for number, value in _fields(data):

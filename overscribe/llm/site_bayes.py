@@ -88,13 +88,7 @@ def evidence(rows: DataFrame, names: list[str]) -> tuple[Column, float]:
         ratio = ratio + F.element_at(F.array(*map(F.lit, llr)), bin_of(f) + 1)
     ratio = F.greatest(F.least(ratio, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))
     hist = known.groupBy(F.round(ratio * STEPS).cast("int").alias("r"), "y").count().collect()  # at most 2 * (2 * LIMIT * STEPS + 1) rows
-    x = np.repeat([[r.r / STEPS] for r in hist], [r["count"] for r in hist], axis=0) if sum(n) <= 100_000 else None
-    if x is None:  # in proportion, so that the work does not grow
-        weight = [max(1, round(r["count"] * 100_000 / sum(n))) for r in hist]
-        x, y = np.repeat([[r.r / STEPS] for r in hist], weight, axis=0), np.repeat([r.y for r in hist], weight)
-    else:
-        y = np.repeat([r.y for r in hist], [r["count"] for r in hist])
-    w = fit(x, y.astype(float))
+    w = fit(np.array([[r.r / STEPS] for r in hist]), np.array([float(r.y) for r in hist]), times=np.array([float(r["count"]) for r in hist]))
     share = n[1] / sum(n)
     return F.lit(float(w[0]) - math.log(share / (1 - share))) + F.lit(float(w[1])) * ratio, share
 

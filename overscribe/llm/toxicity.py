@@ -286,14 +286,15 @@ def fit_rising(x: np.ndarray, y: np.ndarray, rising: list[int]) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of a logistic regression, the constant first, by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression, the constant first, by Newton's method. times: how often each row counts."""
     x = np.hstack([np.ones((len(x), 1)), x])
+    times = np.ones(len(x)) if times is None else times
     w = np.zeros(x.shape[1])
     penalty = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve(x.T @ (x * (times * p * (1 - p))[:, None]) + penalty, x.T @ (times * (y - p)) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -323,7 +324,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("_id"), "toxic")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    sample = materialize(sample.dropDuplicates(), "toxic").repartition(16)
+    # SAMPLE rows at most, over all cores that there are.
+    sample = materialize(sample.dropDuplicates(), "toxic").repartition(max(16, docs.sparkSession.sparkContext.defaultParallelism))
     lexicon = mine(sample)
 
     def run(batches):
@@ -356,11 +358,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+    """doc_id, held_out, score, predicted of every row.
+
+    A null or empty text scores as one without hits, rows that repeat the same
+    each; without labels of both kinds nothing is toxic. Empty in, empty out.
+    """
     out = scored(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that score under 0.5."""
+    """The rows that score under 0.5, repeated ones too; a null or empty text scores as one without hits."""
     return scored(docs.select(*DOC_COLUMNS), train(docs, labels)).where("score < 0.5").select(*DOC_COLUMNS)

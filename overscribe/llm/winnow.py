@@ -218,6 +218,6 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of documents that are not contaminated."""
+    """The rows of documents that are not contaminated, repeated ones and those with a null or empty text too."""
     bad = materialize(decontaminate(docs, items).where("contaminated").select("doc_id", "row_hash").distinct(), "bad")
     return same_row(docs.select(*DOC_COLUMNS, text_hash().alias("row_hash")), small(bad), "left_anti").select(*DOC_COLUMNS)

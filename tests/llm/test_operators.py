@@ -148,7 +148,7 @@ def test_site_quality(spark, docs, labels):
     assert site_bayes.site_quality(docs.where("false"), labels, "source", "lang").count() == 0
     host, path = site_bayes.site_of("u")
     df = spark.createDataFrame([("http://www.A.org/x/y?q",), ("nonsense",), (None,)], "u string")
-    assert [tuple(r) for r in df.select(host, path).collect()] == [("a.org", "x"), ("", ""), ("", "")] or df.select(host, path).count() == 3
+    assert [tuple(r) for r in df.select(host, path).collect()] == [("a.org", "x"), ("", ""), ("", "")]
 
 
 def test_sparse_sites_shrink(spark):
@@ -183,6 +183,29 @@ def test_quality_rules(spark, docs, labels):
     assert np.mean([bool(r.quality) == r.kept for r in pairs if not r.base_failed]) >= 0.9
     got = decision_list.quality_rules(awkward(spark), labels.where("false")).collect()
     assert len(got) == 15 and all(r.kept == (not r.base_failed) for r in got)
+    assert decision_list.quality_rules(docs.where("false"), labels).count() == 0
+
+
+def test_rules_by_hand(spark):
+    """Rows that two thresholds tell apart: the learned list rejects just the bad ones, in any order of rows."""
+    rng, zero = np.random.default_rng(4), dict.fromkeys(decision_list.FEATURES, 0.0)
+    data = [zero | {"symbol_rate": float(a), "word_length": float(b), "bad": int(a > 0.6 or b < 0.2), "grow": bool(i % 3)} for i, (a, b) in enumerate(rng.random((900, 2)))]
+    rules = decision_list.learn(spark.createDataFrame(data).cache())
+    assert rules and all(x.feature in ("symbol_rate", "word_length") for r in rules for x in r)
+    rejects = lambda row: any(all((row[x.feature] > x.threshold) == x.above for x in r) for r in rules)
+    assert np.mean([rejects(row) == bool(row["bad"]) for row in data]) > 0.93
+    df = spark.createDataFrame(data).withColumn("rule", decision_list.verdict(rules))
+    assert [r.rule is not None for r in df.select("rule").collect()] == [rejects(row) for row in data]
+
+
+def test_ids_of_other_types_and_large_texts(spark):
+    """String ids, and texts of a megabyte in one line and in many."""
+    texts = ["word " * 200_000, "\n".join(f"line {i} of a long text" for i in range(40_000)), "short"]
+    df = spark.createDataFrame([(f"d{i}", t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id string, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([("x", "nothing of this kind")], "item_id string, text string")
+    results = [wordpiece.token_counts(df), sp.round_trip(df), golay.near_duplicates(df), winnow.decontaminate(df, items), licenses.scan(df, licenses.train(["plain words"])), lines.dedup(df)]
+    for out in results:
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == ["d0", "d1", "d2"]
 
 
 # 5
@@ -211,8 +234,9 @@ def test_edit_automaton():
 
 def test_toxicity(spark, docs, labels):
     out = toxicity.toxicity(docs, labels)
-    pairs = out.join(labels, "doc_id").select("toxic", "predicted").collect()
-    assert np.mean([r.toxic == r.predicted for r in pairs]) >= 0.9
+    pairs = out.where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    assert len(pairs) > 10 and np.mean([r.toxic == r.predicted for r in pairs]) >= 0.9
+    assert toxicity.toxicity(docs.where("false"), labels).count() == 0
     assert {r.doc_id for r in out.where("held_out").collect()} == {r.doc_id for r in docs.collect() if __import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0}
     model = toxicity.Model(toxicity.Lexicon([("idiot", False, 8.0), ("scum", False, 8.0)]), np.array([-6, 2, 2, -1, 1, 0.5, 1.0]))
     df = awkward(spark).union(spark.sql("select 100L, 'you are an idiot and scum', '', '', 0L, '', '', '', '', '' union all select 101L, 'they said \"what an idiot\" to him', '', '', 0L, '', '', '', '', ''"))
@@ -497,4 +521,20 @@ def test_licenses(spark, docs):
     held = [("This file is licensed under the Apache License, Version 2.0, see NOTICE", "Apache-2.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA"), ("Licensed under the Nobody Knows License of 1987, chapter nine.", "unknown"), ("The harvest came late this year in the valley.", "none")]
     got = model.judge([licenses.words_of(t) for t, _ in held])
     assert [g[0] for g in got] == [w for _, w in held]
+    wrapped = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.",
+        "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "unknown": "This project is released under the ISC License.",
+    }
+    def families(text):
+        return sorted({f for _, f, _ in model.found([licenses.words_of(x) for x in text.split("\n")])})
+
+    for family, text in wrapped.items():
+        assert families("The harvest came late.\n\n" + text + "\n\nThe valley slept.") == [family], family
+    assert families("Licensed under the EUPL, Version 1.2 or later.") == ["unknown"]
+    assert families("All rights reserved.\nReleased under the MIT License.") == ["MIT", "proprietary"]
+    assert families("The city may license the new drivers of the night buses before the winter.") == []
+    assert licenses.scan(docs.where("false"), model).count() == 0
     assert [len(r.hits) for r in licenses.scan(awkward(spark), model).collect()] == [0] * 15
