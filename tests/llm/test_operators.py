@@ -342,6 +342,35 @@ def test_line_dedup_by_edit_similarity_alone(spark, docs):
     assert not extra and lost <= 0.03 * gone and gone > 250
 
 
+def test_recall_of_line_keys(data):
+    """Of all pairs of similar lines of sf0.01, by brute force, those that share a key."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    texts = [(x or "").encode() for x in pq.read_table(data.replace("sf0.001", "sf0.01") + "/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    distinct = sorted({w for t in texts for x in t.split(b"\n") if len(w := tuple(winnow.split_words(x))) >= lines.FUZZY_WORDS}, key=len)
+    classes = np.zeros((len(distinct), 256), dtype=bool)  # the parity of words in classes: two changes an edit
+    for i, w in enumerate(distinct):
+        for x in w:
+            classes[i, zlib.crc32(x) % 256] ^= True
+    bits, n = np.packbits(classes, axis=1).view(np.uint64), np.array([len(w) for w in distinct])
+    scan, counts = lines.Scanner(), np.zeros(1 << lines.SLOT_BITS)
+    for *_, words in scan(texts):
+        counts += np.bincount(lines.slots(words), minlength=len(counts))
+    keys = []
+    for w in distinct:
+        (_, _, first, count, words), = scan([b" ".join(w)])
+        keys.append(set(lines.least_pairs(words, first, count, (counts / counts.sum() ** 0.5).astype(np.float32))[1].tolist()))
+    links = found = 0
+    for i, w in enumerate(distinct):
+        j = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
+        for k in j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= 2 * (n[j] // 5)]:
+            if lines.similar(list(w), list(distinct[k])):
+                links, found = links + 1, found + bool(keys[i] & keys[k])
+    assert links > 300 and found >= 0.98 * links
+
+
 def test_line_links_of_hot_keys(spark):
     """With every key hot, a group of near copies is one group all the same."""
     rng = np.random.default_rng(8)
