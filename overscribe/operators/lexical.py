@@ -12,7 +12,11 @@ K1, B = 1.5, 0.75
 
 def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, n_terms): counted while rows are read, so only counts are shuffled."""
-    rows = docs.select(key, tx.tokens(text).alias("_t")).select(key, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+    rows = docs.select(key, tx.tokens(text).alias("_t"))
+    # The number of terms goes along with each of them, so that exploded rows need not carry the whole array;
+    # explode_outer, as explode would have the texts tokenised once more, in a filter for those without terms.
+    pairs = F.transform("_t", lambda x: F.struct(F.size("_t").alias("n_terms"), x.alias("term")))
+    rows = rows.select(key, F.explode_outer(pairs).alias("_x")).where("_x is not null").select(key, "_x.n_terms", "_x.term")
     return rows.groupBy(key, "n_terms", "term").agg(F.count("*").alias("tf"))
 
 
