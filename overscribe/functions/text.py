@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import FLAGS, LABELS
 
-#: Entities that are decoded without Python; all others are left.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Named characters of HTML, by the standard library's table: names that end in a semicolon.
+NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
+#: What pages mean by the numbers 128 to 159: characters of Windows-1252.
+C1 = "".join(map(chr, range(128, 160)))
+WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
 #: What a title loses, in this order, before titles are compared.
 TITLE_NOISE = [
     r"【[^】]*】",
@@ -51,9 +55,27 @@ def squeeze(x: Column | str) -> Column:
     return strip(F.regexp_replace(_c(x), r"[ \t]+", " "))
 
 
+def _character(number: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    utf32 = F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0"))
+    return F.translate(F.decode(utf32, "UTF-32"), C1, WINDOWS)
+
+
 def unescape(x: Column | str) -> Column:
-    """The entities of ENTITIES, & last, so that nothing is decoded twice."""
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), _c(x))
+    """Entities decoded once: by number, with or without a semicolon, and by name, with one. Unknown names stay."""
+    named = F.from_json(F.lit(NAMED), "map<string,string>")  # folded into a constant
+
+    def decoded(p: Column) -> Column:
+        digits, hexa, name = (F.regexp_extract(p, q, 1) for q in (r"^#([0-9]{1,18});?", r"^#[xX]([0-9a-fA-F]{1,15});?", r"^([A-Za-z][A-Za-z0-9]*);"))
+        rest = F.regexp_replace(p, r"^(?:#[0-9]{1,18};?|#[xX][0-9a-fA-F]{1,15};?|[A-Za-z][A-Za-z0-9]*;)", "")
+        number = F.when(digits != "", digits.try_cast("long")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("long"))
+        text = F.when(number.isNotNull(), _character(number)).when(name != "", F.try_element_at(named, name))
+        return F.coalesce(F.concat(text, rest), F.concat(F.lit("&"), p))
+
+    parts = F.split(_c(x), "&")
+    whole = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return F.when(_c(x).contains("&"), whole).otherwise(_c(x))
 
 
 def html_to_text(x: Column | str) -> Column:

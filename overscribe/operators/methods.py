@@ -16,11 +16,21 @@ from ..functions import similarity as sim
 from .metrics import macro_f1, majority
 
 NEVER = 9e9
+#: The codes of the methods, in their order, and those that ask a model.
+CODES = ["B0", "B1", "B2", "B3", "B4", "M1", "M2", "M3", "M4"]
+ASKING = ["M1", "M2", "M3", "M4"]
 #: Thresholds that the title method tries.
 TITLE_GRID, BODY_GRID = [0.7, 0.8, 0.9, 0.95, 1.0], [0.8, 0.9, 0.95, 0.98, 1.01]
 PRECISE = 0.9
 
 
+def chosen(names: list[str], no_llm: bool = False, only: str | None = None) -> list[str]:
+    """The methods to run, by the code that their names begin with: without those that ask a model, or only the listed ones."""
+    code = {x: x.split()[0] for x in names}
+    wanted = only.split(",") if only else None
+    return [x for x in names if not (no_llm and code[x] in ASKING) and (wanted is None or code[x] in wanted)]
+
+
 def best_document(scored: DataFrame, score: str) -> DataFrame:
     """case_id, doc_id, score of each case's best document, the first one on ties."""
     best = F.min_by(F.struct("doc_id", F.col(score).alias("score")), F.struct(-F.col(score), F.col("pos")))

@@ -77,6 +77,14 @@ def matches(report: DataFrame, config: RouterConfig) -> DataFrame:
     return rows.select("file", "rank", "source_file", F.round("score", 4).alias("score"), F.substring("matched", 1, 300).alias("excerpt"))
 
 
+def response(verdicts: DataFrame, matched: DataFrame) -> DataFrame:
+    """(file, json): a verdict with its best matches, as it is answered to whoever sent the file."""
+    found = matched.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", "source_file", "score", "excerpt"))).alias("matches"))
+    rows = verdicts.join(found, "file", "left")
+    fields = [c for c in verdicts.columns if c != "file"]
+    return rows.select("file", F.to_json(F.struct(*fields, F.coalesce("matches", F.array().cast(found.schema["matches"].dataType)).alias("matches")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def route(docs: DataFrame, key: str, store: DataFrame, config: RouterConfig | None = None, make: Callable = dense.HashedEmbedder, rerank: Callable = dense.LexicalReranker) -> tuple[DataFrame, DataFrame]:
     """(verdicts, report) of documents (key, text) against a store."""
     config = config or RouterConfig.app()

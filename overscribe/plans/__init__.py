@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, retrieval, state, texts
+from . import assembly, evaluation, retrieval, state, texts
 from .common import REGISTRY, SQL
 
-__all__ = ["REGISTRY", "SQL", "evaluation", "retrieval", "state", "texts"]
+__all__ = ["REGISTRY", "SQL", "assembly", "evaluation", "retrieval", "state", "texts"]

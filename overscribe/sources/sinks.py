@@ -43,3 +43,9 @@ def markdown(df: DataFrame, path: str) -> None:
     """One text column a document, in files named by their title."""
     rows = df.select(tx.safe_name("title").alias("name"), tx.markdown(F.col("title"), F.col("text")).alias("value"))
     rows.write.mode("overwrite").partitionBy("name").text(path)
+
+
+def labeler(cases: DataFrame, template: str, path: str, mark: str = "/*DATA*/null") -> None:
+    """A page for annotators with the cases to label, a list of bounded size, as JSON in the place of ``mark``; </ can't end its script."""
+    data = F.replace(F.to_json(F.array_sort(F.collect_list(F.struct(*cases.columns)))), F.lit("</"), F.lit("<\\/"))
+    cases.agg(F.replace(F.lit(template), F.lit(mark), data).alias("value")).coalesce(1).write.mode("overwrite").text(path)
