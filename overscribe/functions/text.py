@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ from ..schemas import FLAGS, LABELS
 
 #: Named characters of HTML, by the standard library's table: names that end in a semicolon.
 NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
+#: Names that count without a semicolon too, even if more letters follow; the longest one wins.
+BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 #: What pages mean by the numbers 128 to 159: characters of Windows-1252.
 C1 = "".join(map(chr, range(128, 160)))
 WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
@@ -63,7 +66,7 @@ def _character(number: Column) -> Column:
 
 
 def unescape(x: Column | str) -> Column:
-    """Entities decoded once: by number, with or without a semicolon, and by name, with one. Unknown names stay."""
+    """Entities decoded once: by number, by name, and by the start of a name that needs no semicolon. Unknown names stay."""
     named = F.from_json(F.lit(NAMED), "map<string,string>")  # folded into a constant
 
     def decoded(p: Column) -> Column:
@@ -71,7 +74,9 @@ def unescape(x: Column | str) -> Column:
         rest = F.regexp_replace(p, r"^(?:#[0-9]{1,18};?|#[xX][0-9a-fA-F]{1,15};?|[A-Za-z][A-Za-z0-9]*;)", "")
         number = F.when(digits != "", digits.try_cast("long")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("long"))
         text = F.when(number.isNotNull(), _character(number)).when(name != "", F.try_element_at(named, name))
-        return F.coalesce(F.concat(text, rest), F.concat(F.lit("&"), p))
+        bare = F.regexp_extract(p, BARE, 1)
+        by_start = F.concat(F.try_element_at(named, F.nullif(bare, F.lit(""))), F.substring(p, F.length(bare) + 1, F.length(p)))
+        return F.coalesce(F.concat(text, rest), by_start, F.concat(F.lit("&"), p))
 
     parts = F.split(_c(x), "&")
     whole = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")

@@ -13,10 +13,10 @@ from ..schemas import LABELS
 from .common import ANSWER_SQL, CASE_SQL, GOLD_SQL, LIB_SQL, METHODS, answers, cases, f1_sql, gold, h, library, query, table
 
 
-@query("select cast(l.doc_id as varchar) as case_id, 'f' || l.doc_id as file, length(d.text) as chars from labels l join documents d using (doc_id) where l.doc_id % 3 <> 0 and coalesce(d.text, '') <> ''")
+@query("select cast(l.doc_id as varchar) as case_id, 'f' || l.doc_id as file, length(d.text) as chars from labels l join documents d using (doc_id) where coalesce(d.text, '') <> ''")
 def j06_case_files(spark: SparkSession, d: str) -> DataFrame:
-    """Cases with their manifest's file; two cases of three have one."""
-    manifest = gold(spark, d).where("pos % 3 <> 0").select("case_id", F.concat(F.lit("f"), "case_id").alias("file"), "kind")
+    """Cases with their manifest's file."""
+    manifest = gold(spark, d).select("case_id", F.concat(F.lit("f"), "case_id").alias("file"), "kind")
     docs = table(spark, d, "documents")
     files = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file"), F.lit("").alias("title"), "text")
     out = assembled.assemble(gold(spark, d).select("case_id"), manifest, files)
@@ -30,15 +30,13 @@ def j07_case_bulletins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with a as (select doc_id, source, case when doc_id % 7 <> 0 then substr(text, 1, cast(doc_id % 400 as bigint)) end as t from documents)
+    """with a as (select doc_id, source, text as t from documents)
 select doc_id, case when length(t) >= 200 then 'attachment-pdf' else 'bulletin-md' end as kind, case when length(t) >= 200 then md5(t) else md5(source) end as text_key,
 case when t is null or length(t) >= 200 then '' else 'pdf has only ' || length(t) || ' characters of text (scan?)' end as note from a"""
 )
 def p08_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Attachments of up to 399 characters, some of them missing."""
-    text = F.when(F.expr("doc_id % 7 <> 0"), F.expr("substring(text, 1, cast(doc_id % 400 as int))"))
-    rows = table(spark, d, "documents").select("doc_id", "source", text.alias("t"))
-    rows = rows.select("doc_id", assembled.readable_or(F.col("t"), F.lit("pdf"), F.col("source")).alias("r"))
+    """The documents as attachments; short ones give way to the name of their source."""
+    rows = table(spark, d, "documents").select("doc_id", assembled.readable_or(F.col("text"), F.lit("pdf"), F.col("source")).alias("r"))
     return rows.select("doc_id", "r.kind", F.md5("r.text").alias("text_key"), "r.note")
 
 

@@ -9,7 +9,8 @@ from ..functions import text as tx
 from ..operators import judge
 from .common import ANSWER_SQL, CASE_SQL, GOLD_SQL, LIB_SQL, TEXT_SQL, answers, cases, gold, library, query, table
 
-_UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+# The entities that pages have; tests compare the others with the standard library.
+_UNESCAPE = "regexp_replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 
 
 def _to_text(x: str) -> str:
