@@ -16,8 +16,7 @@ from ..functions import similarity as sim
 from .metrics import macro_f1, majority
 
 NEVER = 9e9
-#: The codes of the methods, in their order, and those that ask a model.
-CODES = ["B0", "B1", "B2", "B3", "B4", "M1", "M2", "M3", "M4"]
+#: The codes of the methods that ask a model.
 ASKING = ["M1", "M2", "M3", "M4"]
 #: Thresholds that the title method tries.
 TITLE_GRID, BODY_GRID = [0.7, 0.8, 0.9, 0.95, 1.0], [0.8, 0.9, 0.95, 0.98, 1.01]
