@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Bytes of a shard at most.
 SHARD_BYTES = 1 << 20
@@ -61,8 +61,12 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("shard", F.expr("substring(fine, 1, depth)"))
         fit = levels.groupBy("depth", "shard").agg(F.sum("bytes").alias("_bytes"), F.sum("rows").alias("_rows"))
         fit = fit.where((F.col("_bytes") <= limit) | (F.col("_rows") == 1))
-        of = levels.join(fit, ["depth", "shard"]).groupBy("fine").agg(F.min("depth").alias("depth"))
+        fit = materialize(fit, "fitting")
+        # Above the shallowest prefix that fits nothing can match; there all of them would have a few prefixes as their key.
+        least = fit.agg(F.coalesce(F.min("depth"), F.lit(high + 1))).first()[0]
+        of = levels.where(F.col("depth") >= least).join(fit, ["depth", "shard"]).groupBy("fine").agg(F.min("depth").alias("depth"))
         of = materialize(of, "directory")
+        release(fit)
         placed = rest.withColumn("fine", prefix(high)).join(of, "fine", "left")
         done = placed.where("depth is not null").select("doc_id", "n_bytes", F.expr("substring(fine, 1, depth)").alias("shard"), "depth")
         out = done if out is None else out.union(done)
