@@ -180,11 +180,11 @@ def _verified(batches):
     for batch in batches:
         c = batch.to_pydict()
         rows = []
-        for row, k, pos, lead, ctx, item, ilead, ictx in zip(*(c[n] for n in ("row", "k", "pos", "lead", "ctx", "item_id", "ilead", "ictx")), strict=True):
+        for row, k, pos, lead, ctx, gid, ilead, ictx in zip(*(c[n] for n in ("row", "k", "pos", "lead", "ctx", "gid", "ilead", "ictx")), strict=True):
             if (found := extend(ctx, lead, ictx, ilead, k)) is not None:
-                rows.append((row, pos - found[0], pos + (k or K) + found[1], item))
-        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))]
-        yield pa.RecordBatch.from_arrays(cols, ["row", "start", "end", "item_id"])
+                rows.append((row, pos - found[0], pos + (k or K) + found[1], gid))
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "start", "end", "gid"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -202,18 +202,25 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash().alias("row_hash"), "text")
     rows = materialize(in_batches(rows, run, f"row long, doc_id {id_type(docs)}, row_hash long, n_words long, grams array<{_GRAM}>"), "grams")
     cand = rows.select("row", F.explode("grams").alias("g")).select("row", "g.*")
-    known = known.select("h", "k", "item_id", F.col("lead").alias("ilead"), F.col("ctx").alias("ictx")).distinct()
-    known = small(materialize(known, "known"), 100_000)
-    spans = in_batches(cand.join(known, ["h", "k"]), _verified, "row long, start int, end int, item_id string")
-    spans = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("ids"))
+    known = known.select("h", "k", "item_id", F.col("lead").alias("ilead"), F.col("ctx").alias("ictx"))
+    # A passage of many items is one context, and documents with the same contexts have the same items: ids are put to each such set once.
+    at = ["h", "k", "ilead", "ictx"]
+    contexts = materialize(known.select(*at).distinct().withColumn("gid", F.monotonically_increasing_id()), "contexts")
+    members = materialize(known.where("item_id is not null").join(contexts, at).select("gid", "item_id").distinct(), "members")
+    spans = in_batches(cand.join(small(contexts, 100_000), ["h", "k"]), _verified, "row long, start int, end int, gid long")
+    spans = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("gid")).alias("gids"))
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["to"]))).alias("n")),
     )["n"]
-    spans = materialize(spans.select(F.col("row").alias("_row"), union.alias("hit"), F.size("ids").cast("long").alias("items"), F.array_join("ids", ",").alias("ids")), "hits")
+    spans = materialize(spans.select(F.col("row").alias("_row"), union.alias("hit"), "gids"), "hits")
+    sets = spans.select("gids").distinct().select("gids", F.explode("gids").alias("gid")).join(members, "gid")
+    sets = sets.groupBy("gids").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    sets = sets.select(F.col("gids").alias("_gids"), F.size("ids").cast("long").alias("items"), F.sha2(F.array_join("ids", ","), 256).alias("sha"))
+    spans = materialize(spans.join(sets, F.col("gids") == F.col("_gids"), "left").select("_row", "hit", "items", "sha"), "items_hit")
     out = rows.drop("grams").join(small(spans), F.col("row") == F.col("_row"), "left")
-    out = out.select("doc_id", "row_hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"))
+    out = out.select("doc_id", "row_hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
