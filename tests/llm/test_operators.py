@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -151,6 +153,68 @@ def test_site_quality(spark, docs, labels):
     assert [tuple(r) for r in df.select(host, path).collect()] == [("a.org", "x"), ("", ""), ("", "")]
 
 
+def test_site_quality_in_plain_python(spark, docs, labels):
+    """Every column of every row against dictionaries and sums."""
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.quality)
+    data = docs.collect()
+
+    def measures(text):
+        w, n = WS.findall(text), max(1, len(WS.findall(text)))
+        rate = lambda marks: sum(c in marks for c in text) / max(1, len(text))
+        return rate("#*$%&|<>"), rate("!"), rate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), len(set(w)) / n, len(text) / n, float(len(w))
+
+    x = {r.doc_id: measures(r.text or "") for r in data}
+    seen = [i for i in x if i in known]
+    cuts = []
+    for f in range(6):
+        v = sorted(x[i][f] for i in seen)
+        cuts.append(sorted({v[math.ceil(k / site_bayes.BINS * len(v)) - 1] for k in range(1, site_bayes.BINS)}))
+    cell = lambda i, f: sum(x[i][f] > c for c in cuts[f])
+    count = collections.Counter((f, cell(i, f), known[i]) for i in seen for f in range(6))
+    n = collections.Counter(known[i] for i in seen)
+
+    def ratio(i):
+        of = lambda f, y: math.log((count[f, cell(i, f), y] + 0.5) / (n[y] + 0.5 * (len(cuts[f]) + 1)))
+        return max(-20.0, min(20.0, sum(of(f, 1) - of(f, 0) for f in range(6))))
+
+    steps = np.array([[math.copysign(math.floor(abs(ratio(i)) * 2 + 0.5), ratio(i)) / 2] for i in seen])
+    w = toxicity.fit(steps, np.array([float(known[i]) for i in seen]))
+    share = n[1] / len(seen)
+    evidence = {i: w[0] - logit(share) + w[1] * ratio(i) for i in x}
+    p = {i: float(known[i]) if i in known else sigmoid(logit(share) + evidence[i]) for i in x}
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for r in data:
+        hosts[r.source].append(p[r.doc_id])
+        paths[r.source, r.lang].append(p[r.doc_id])
+
+    def strength(sites, mean):
+        of = [(len(v), sum(v) / len(v), mean(k)) for k, v in sites.items() if len(v) > 1]
+        within, chance = sum(k * m * (1 - m) for k, _, m in of), sum(m * (1 - m) for *_, m in of)
+        if len(of) < 2 or within <= 0:
+            return site_bayes.STRONGEST
+        rho = (sum(k * (s - m) ** 2 for k, s, m in of) - chance) / max(within - chance, 1e-12)
+        return site_bayes.STRONGEST if rho <= 0 else min(site_bayes.STRONGEST, max(site_bayes.WEAKEST, 1 / rho - 1))
+
+    mean = sum(p.values()) / len(p)
+    a = strength(hosts, lambda _: mean)
+    quality = {h: (a * mean + sum(v)) / (a + len(v)) for h, v in hosts.items()}
+    b = strength(paths, lambda k: quality[k[0]])
+    out = {r.doc_id: r for r in site_bayes.site_quality(docs, labels, "source", "lang").collect()}
+    assert len(out) == len(data)
+    for r in data:
+        i, h, v = r.doc_id, hosts[r.source], paths[r.source, r.lang]
+        above = (a * mean + sum(h) - p[i]) / (a + len(h) - 1)
+        others = (b * above + sum(v) - p[i]) / (b + len(v) - 1)
+        want = evidence[i], quality[r.source], others, sigmoid(logit(others) + evidence[i])
+        assert (out[i].evidence, out[i].host_quality, out[i].path_quality, out[i].quality) == pytest.approx(want, rel=1e-5, abs=1e-7)
+        assert out[i].kept == (out[i].quality >= 0.5)
+
+
 def test_sparse_sites_shrink(spark):
     data = [(i, "g" if i % 2 else "b") for i in range(200)]
     docs = spark.createDataFrame([(i, ("fine words here " * 9) if k == "g" else "### $$$ " * 20, k + "ig", "p") for i, k in data] + [(900, "fine words here " * 9, "tiny", "p")], "doc_id long, text string, host string, path string")
@@ -237,7 +301,7 @@ def test_toxicity(spark, docs, labels):
     pairs = out.where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
     assert len(pairs) > 10 and np.mean([r.toxic == r.predicted for r in pairs]) >= 0.9
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
-    assert {r.doc_id for r in out.where("held_out").collect()} == {r.doc_id for r in docs.collect() if __import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0}
+    assert {r.doc_id for r in out.where("held_out").collect()} == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
     model = toxicity.Model(toxicity.Lexicon([("idiot", False, 8.0), ("scum", False, 8.0)]), np.array([-6, 2, 2, -1, 1, 0.5, 1.0]))
     df = awkward(spark).union(spark.sql("select 100L, 'you are an idiot and scum', '', '', 0L, '', '', '', '', '' union all select 101L, 'they said \"what an idiot\" to him', '', '', 0L, '', '', '', '', ''"))
     got = {r.doc_id: r.score for r in toxicity.scored(df, model).collect()}
