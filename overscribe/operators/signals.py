@@ -46,7 +46,7 @@ def title_pairs(cases: DataFrame, library: DataFrame, least: float = TITLE_KEPT)
 def bm25(cases: DataFrame, library: DataFrame) -> DataFrame:
     """(case_id, doc_id, date, pos, bm25) of older documents that share a term; statistics are the whole library's."""
     scores = lexical.scores(cases, "case_id", tx.doc_text("case_title", "case_text"), library, "doc_id", tx.doc_text("title", "text"))
-    out = scores.join(library.select("doc_id", "date", "pos"), "doc_id").join(F.broadcast(cases.select("case_id", "case_date")), "case_id")
+    out = scores.join(library.select("doc_id", "date", "pos"), "doc_id").join(cases.select("case_id", "case_date"), "case_id")
     return out.where("date < case_date").select("case_id", "doc_id", "date", "pos", "bm25")
 
 
