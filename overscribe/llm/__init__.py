@@ -1,7 +1,8 @@
 """Corpus operators for training-data pipelines.
 
-Ten operators over a ``documents`` table (``doc_id`` long, ``text`` string, any
-further columns), one module each, and :mod:`.queries`, which registers them.
+Ten operators over a ``documents`` table (``doc_id``, ``text`` string, any
+further columns) and three over ``embeddings`` (``vec_id`` long, a vector,
+``label``), one module each, and :mod:`.queries`, which registers them.
 Nothing outside this subpackage imports it.
 
 Rules that hold for every operator here unless its docstring says otherwise:

@@ -75,9 +75,59 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows that take part, with components as whole numbers.
+_WHOLE = "list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint))"
+_GOOD = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: cast(x[1] * x[2] as bigint)))"
+
+
+def _rounds(n: int = 5) -> str:
+    """Centroids c0 to cn and assignments a0 to an, a pair of tables a round."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""d{i} as materialized (select rid, k, cast(list_sum(list_transform(list_zip(q, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as bigint) as d from v, c{i}),
+a{i} as materialized (select rid, arg_min(k, (d, k)) as k, min(d) as d from d{i} group by rid)""")
+        if i < n:
+            out.append(f"""m{i} as (select k, p, cast(floor(sum(x) / count(*)) as bigint) as x from (select k, unnest(range(1, 65)) as p, unnest(q) as x from a{i} join v using (rid)) group by k, p),
+c{i + 1} as materialized (select k, coalesce(n, c) as c from c{i} left join (select k, list(x order by p) as n from m{i} group by k) using (k))""")
+    return ",\n".join(out)
+
+
 SQL: dict[str, str] = {
+    "op12_hard_negatives": f"""
+with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_WHOLE} as q from embeddings where label is not null and {_GOOD}),
+s as materialized (select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, cast({_DOT.format("a.q", "v.q")} as bigint) as s from v a join v on a.vec_id % 100 = 0 and a.vec_id <> v.vec_id and len(a.q) = len(v.q)),
+p as (select anchor_id, vec_id as positive_id, s as positive_score from s where same qualify row_number() over (partition by anchor_id order by s desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by s desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, s as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * s and 100 * s <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by s desc, vec_id) <= 10""",
+    "op13_centroid_clusters": f"""
+with v as materialized (select row_number() over () as rid, vec_id, {_WHOLE} as q from embeddings where {_GOOD} and len(embedding) = 64),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), vec_id) - 1 as k, q as c from v qualify k < 40),
+{_rounds()},
+t as (select k, sum(d) as t from a5 group by k)
+select vec_id, cast(k as integer) as cluster, d as distance, cast(t as bigint) as cluster_inertia, cast((select sum(d) from a5) as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a5 join v using (rid) join t using (k) join c5 using (k)""",
     "op2_extendible_hashing": """
 with d as (select row_number() over () as rid, doc_id, coalesce(octet_length(encode(text)), 0) as n_bytes,
              right(lpad(bin(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint), 60, '0'), 60) as a from documents),
