@@ -55,7 +55,7 @@ def strip(x: Column | str) -> Column:
 
 def squeeze(x: Column | str) -> Column:
     """Blanks and tabs to one blank each, and none at the ends."""
-    return strip(F.regexp_replace(_c(x), r"[ \t]+", " "))
+    return strip(F.regexp_replace(_c(x), r"[ \t]{2,}|\t", " "))
 
 
 def _character(number: Column) -> Column:

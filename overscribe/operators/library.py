@@ -20,7 +20,9 @@ def usable(docs: DataFrame) -> DataFrame:
 
 def from_documents(docs: DataFrame) -> DataFrame:
     """doc_id, title, text, date, pos of plain documents: four share a day, as their ids go."""
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.date_format(F.date_add(F.lit("2015-01-01"), F.expr("cast(doc_id div 4 as int)")), "yyyy-MM-dd").alias("date"), tx.title_and_text("text").alias("_t"))
+    day = F.date_format(F.date_add(F.lit("2015-01-01"), F.expr("cast(doc_id div 4 as int)")), "yyyy-MM-dd")
+    # Bound by a generator: a filter below would split every text once more.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), day.alias("date"), F.explode(F.array(tx.title_and_text("text"))).alias("_t"))
     return usable(rows.select("doc_id", "_t.title", "_t.text", "date", position().alias("pos")))
 
 

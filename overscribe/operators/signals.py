@@ -43,11 +43,11 @@ def title_pairs(cases: DataFrame, library: DataFrame, least: float = TITLE_KEPT)
     return pairs.join(q, "a").join(d, "b").where(F.col("date") < F.col("case_date")).select("case_id", "doc_id", "date", "pos", "title_sim")
 
 
-def bm25(cases: DataFrame, library: DataFrame) -> DataFrame:
-    """(case_id, doc_id, date, pos, bm25) of older documents that share a term; statistics are the whole library's."""
-    scores = lexical.scores(cases, "case_id", tx.doc_text("case_title", "case_text"), library, "doc_id", tx.doc_text("title", "text"))
-    out = scores.join(library.select("doc_id", "date", "pos"), "doc_id").join(cases.select("case_id", "case_date"), "case_id")
-    return out.where("date < case_date").select("case_id", "doc_id", "date", "pos", "bm25")
+def bm25(cases: DataFrame, library: DataFrame, k: int = SHORTLIST) -> DataFrame:
+    """(case_id, doc_id, pos, bm25, rank) of the k best older documents, ties to the older one; statistics are the whole library's."""
+    q = lexical.asked(cases, "case_id", tx.doc_text("case_title", "case_text"), "case_date")
+    counted = lexical.Counted.of(library, tx.doc_text("title", "text"), "doc_id", "pos", "date", among=q)
+    return lexical.top_k(counted, lexical.known(counted, q, "case_id", "case_date"), "case_id", "doc_id", "pos", k, F.col("date") < F.col("case_date"), ("case_date",), ("date",))
 
 
 def body_similarity(pairs: DataFrame, cases: DataFrame, library: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import library as lib
 from ..operators.stats import hash_int
 from ..schemas import LABELS
+from ..sources.scratch import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -31,7 +32,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:

@@ -35,9 +35,8 @@ top as materialized (select case_id, lib.doc_id, bm25, row_number() over (partit
 
 
 def bm25_top(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    """case_id, doc_id, bm25, rank. Scores are rounded, so that the last digit decides nothing."""
-    scored = signals.bm25(cases(spark, d), library(spark, d)).withColumn("bm25", F.round("bm25", 6))
-    return signals.top_documents(scored, "bm25", k)
+    """case_id, doc_id, pos, bm25, rank."""
+    return signals.bm25(cases(spark, d), library(spark, d), k)
 
 
 @query(f"with {LIB_SQL} select doc_id, date, md5(title || chr(10) || text) as text_key from lib")
@@ -117,8 +116,8 @@ def j08_knn(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {BM25_SQL} select term, count(*) as df, round(sum(weight), 4) as weight from post group by term")
 def m07_bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    postings, _ = lexical.index(library(spark, d), "doc_id", tx.doc_text("title", "text"))
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 4).alias("weight"))
+    terms = lexical.Counted.of(library(spark, d), tx.doc_text("title", "text"), "doc_id").terms()
+    return terms.select("term", "df", F.round("weight", 4).alias("weight"))
 
 
 @query(f"with {BM25_SQL} select case_id, doc_id, bm25 from top where rank <= 10")
