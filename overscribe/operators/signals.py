@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
+from ..sources.scratch import written
 from . import lexical
 from .dense import top_k
 from .library import before
@@ -21,28 +22,82 @@ def identical(cases: DataFrame, library: DataFrame) -> DataFrame:
     return d.join(q, "_h").where((F.col("_b") == F.col("_body")) & (F.col("date") < F.col("case_date"))).select("case_id", "doc_id", "date", "pos")
 
 
-def title_pairs(cases: DataFrame, library: DataFrame, least: float = TITLE_KEPT) -> DataFrame:
-    """(case_id, doc_id, date, pos, title_sim) of older documents with titles that similar.
+def _grams(titles: DataFrame, size: int) -> DataFrame:
+    """(id, gram): the grams of each title (id, title), numbered by how often they occurred before, so that sets of them have the size of the multisets' overlap."""
+    at = F.sequence(F.lit(1), F.length("title") - (size - 1))
+    rows = titles.where(F.length("title") >= size).select("id", F.explode(F.transform(at, lambda i: F.substring(F.col("title"), i, F.lit(size)))).alias("g"))
+    n = rows.groupBy("id", "g").agg(F.count("*").alias("n"))
+    return n.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.concat(F.col("g"), F.lit("\x01"), k.cast("string")))).alias("gram"))
+
 
-    Equal titles are joined by hash. Others are paired by length: a pair of
-    lengths that can reach ``least`` shares a band, or has neighbouring ones,
-    of lengths that grow by 1 / least * (2 - least) each.
+def _candidates(a: DataFrame, b: DataFrame, least: float, size: int) -> DataFrame:
+    """(a, b) ids of titles (id, title) that share as many grams as their lengths ask of a pair with ratio >= ``least``.
+
+    A pair has M >= least * (|a| + |b|) / 2 matched characters. It shares as many
+    single ones; of pairs of characters all but one in each of its blocks, of
+    which there are |a| + |b| - 2 M + 1 at most. What shares ``need`` grams shares one
+    of the rarest n - need + 1 of either's n: only those are joined.
     """
-    q = cases.select("case_id", "case_date", tx.norm_title("case_title").alias("a")).where("a <> ''")
-    d = library.select("doc_id", "date", "pos", tx.norm_title("title").alias("b")).where("b <> ''")
-    step = (2 - least) / least  # the largest quotient of two lengths whose bound reaches ``least``
+    one = least / 2 if size == 1 else 1.5 * least - 1  # grams that are needed, for each character of both titles
+
+    def need(length: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(one * length - (size - 1) - 1e-9))
+
+    grams = {n: _grams(x, size) for n, x in (("a", a), ("b", b))}
+    often = grams["b"].groupBy("gram").agg(F.count("*").alias("df"))
+    sets = {}
+    for n, x in (("a", a), ("b", b)):
+        own = grams[n].join(often, "gram", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("grams"))
+        sets[n] = written(own.join(x.select("id", F.length("title").alias("len")), "id").select("id", "len", F.col("grams.gram").alias("grams")), "grams")
+    # The shortest partner that can reach ``least`` asks for the fewest grams.
+    rare = F.slice("grams", 1, F.size("grams") - F.least(F.size("grams"), need(F.col("len") * (2 / (2 - least)))) + 1)
+    left, right = (sets[n].select(F.col("id").alias(n), F.col("len").alias(f"l{n}"), F.explode(rare).alias("gram")) for n in "ab")
+    reach = 2.0 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb")) - 1e-9
+    pairs = left.join(right, "gram").where(reach).select("a", "b").distinct()
+    pairs = pairs.join(sets["a"].toDF("a", "la", "ga"), "a").join(sets["b"].toDF("b", "lb", "gb"), "b")
+    return pairs.where(F.size(F.array_intersect("ga", "gb")) >= need(F.col("la") + F.col("lb"))).select("a", "b")
+
+
+def similar_titles(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a, b, title_sim) of different normalised titles (title) whose ratio is at least ``least``; equal ones are in it as well.
+
+    Pairs of characters tell most pairs apart where ``least`` is high enough for
+    any to be shared; short titles, and all below that, go by single ones.
+    """
+    a, b = (x.where("title <> ''").select(F.md5("title").alias("id"), "title").distinct() for x in (a, b))
+    a, b = written(a, "titles"), written(b, "titles")
+    if least >= 0.75:
+        short = F.length("title") < 2 / (1.5 * least - 1) + 1
+        pairs = _candidates(a, b, least, 2).union(_candidates(a.where(short), b.where(short), least, 1)).distinct()
+    else:
+        pairs = _candidates(a, b, least, 1)
+    pairs = pairs.join(a.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(b.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
+    out = pairs.select(F.col("ta").alias("a"), F.col("tb").alias("b")).withColumn("title_sim", sim.ratio("a", "b"))
+    return out.where(F.col("title_sim") >= least)
 
-    def band(c: str) -> Column:
-        return F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(step)) + 1e-9).cast("int")
 
+def title_pairs(cases: DataFrame, library: DataFrame, least: float = TITLE_KEPT) -> DataFrame:
+    """(case_id, doc_id, date, pos, title_sim) of older documents with titles that similar."""
+    q = cases.select("case_id", "case_date", tx.norm_title("case_title").alias("a")).where("a <> ''")
+    d = library.select("doc_id", "date", "pos", tx.norm_title("title").alias("b")).where("b <> ''")
     # Distinct titles are compared once, however many documents or cases share them.
-    qa = q.select("a").distinct().withColumn("_band", F.explode(F.array(band("a") - 1, band("a"), band("a") + 1)))
-    db = d.select("b").distinct().withColumn("_band", band("b"))
-    pairs = qa.join(db, "_band").where(sim.length_bound(F.col("a"), F.col("b")) >= least)
-    pairs = pairs.select("a", "b").distinct().withColumn("title_sim", sim.ratio("a", "b")).where(F.col("title_sim") >= least)
+    pairs = written(similar_titles(q.select(F.col("a").alias("title")), d.select(F.col("b").alias("title")), least), "title-pairs")
     return pairs.join(q, "a").join(d, "b").where(F.col("date") < F.col("case_date")).select("case_id", "doc_id", "date", "pos", "title_sim")
 
 
+def best_older_title(library: DataFrame, least: float) -> DataFrame:
+    """(doc_id, title_best): how alike the title of each document is to one of an older document, where that is at least ``least``.
+
+    Titles are compared once, older against newer, by the day on which each first
+    came up; a title that thousands share is one row of it.
+    """
+    d = written(library.select("doc_id", "date", tx.norm_title("title").alias("b")).where("b <> ''"), "dated-titles")
+    first = d.groupBy("b").agg(F.min("date").alias("first"))
+    titles = d.select(F.col("b").alias("title"))
+    pairs = written(similar_titles(titles, titles, least), "title-pairs").join(first.withColumnRenamed("b", "a"), "a")
+    return d.join(pairs, "b").where(F.col("first") < F.col("date")).groupBy("doc_id").agg(F.max("title_sim").alias("title_best"))
+
+
 def bm25(cases: DataFrame, library: DataFrame, k: int = SHORTLIST) -> DataFrame:
     """(case_id, doc_id, pos, bm25, rank) of the k best older documents, ties to the older one; statistics are the whole library's."""
     q = lexical.asked(cases, "case_id", tx.doc_text("case_title", "case_text"), "case_date")

@@ -351,8 +351,8 @@ def m01_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def j10_title_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The same for pools, where only 0.9 and more counts."""
-    return signals.title_pairs(cases(spark, d), library(spark, d), 0.9).select("case_id", "doc_id", F.round("title_sim", 6).alias("title_sim"))
+    """The feature that pools are made by: documents whose title is that of an older one, or nearly."""
+    return signals.best_older_title(library(spark, d), 0.9).select("doc_id", F.round("title_best", 6).alias("title_best"))
 
 
 @query()
