@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import chunk, dense, lexical, methods, router, sampling, signals
+from ..operators import chunk, dense, lexical, methods, router, sampling, signals, vector_index
 from ..operators.library import before
 from ..operators.stats import hash_int
 from ..schemas import RouterConfig
@@ -15,6 +15,8 @@ from .common import CASE_SQL, GOLD_SQL, LIB_SQL, cases, gold, h, library, query,
 
 #: Every fiftieth vector is a query, against all.
 QUERY_EVERY = 50
+#: Cells of the vector index.
+CELLS = 32
 #: Thresholds that the untuned BM25 method takes.
 T_UPD, T_RED = 0.35, 0.95
 
@@ -114,6 +116,16 @@ def j08_knn(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(spark, d, 5).select("q_id", "vec_id", "rank")
 
 
+@query()
+def s17_vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest ones by an inverted file that probes as many cells as a sample says."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = vector_index.build(e, "vec_id", "embedding", CELLS)
+    q = e.where(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "q_id")
+    probes = index.measured_probes(q, "q_id", "embedding", 5, own=False)
+    return index.search(q, "q_id", "embedding", 5, probes, own=False).select("q_id", "vec_id", "rank", F.round("cosine", 5).alias("cosine"))
+
+
 @query(f"with {BM25_SQL} select term, count(*) as df, round(sum(weight), 4) as weight from post group by term")
 def m07_bm25_index(spark: SparkSession, d: str) -> DataFrame:
     terms = lexical.Counted.of(library(spark, d), tx.doc_text("title", "text"), "doc_id").terms()
