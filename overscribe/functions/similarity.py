@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from .matching import Corpus
+
 
 def length_bound(a: Column, b: Column) -> Column:
     """An upper bound of ratio() by the lengths alone; 1 for two empty texts."""
@@ -42,18 +44,16 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @pandas_udf(DoubleType())
 def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
-    matcher, last, out = difflib.SequenceMatcher(None, "", "", autojunk=False), None, []
+    last, out = None, []
     for x, y in zip(a, b, strict=True):
         if x is None or y is None:
             out.append(None)
         elif not x or x in y:
             out.append(1.0)
         else:
-            if y != last:
-                matcher.set_seq2(y)
-                last = y
-            matcher.set_seq1(x)
-            out.append(sum(m.size for m in matcher.get_matching_blocks()) / len(x))
+            if last is None or y != last.text:  # sections of a file come one after the other
+                last = Corpus(y)
+            out.append(last.matched(x) / len(x))
     return pd.Series(out, dtype="float64")
 
 
