@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from .metrics import macro_f1, majority
+from .ranks import running
 
 NEVER = 9e9
 #: The codes of the methods that ask a model.
@@ -111,11 +112,15 @@ def new_cut(tops: DataFrame) -> DataFrame:
     """One row, t_new: just above the largest score up to which NEW is right in nine of ten cases; null if it never is.
 
     It is the last such prefix in the order of (score, label) that counts.
-    Development cases are few; their order is one window.
     """
-    w = Window.orderBy("score", "gold_label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = tops.where("score is not null").withColumn("share", F.avg((F.col("gold_label") == "NEW").cast("double")).over(w))
-    return share.agg((F.max(F.when(F.col("share") >= PRECISE, F.col("score"))) + 1e-9).alias("t_new"))
+    known = tops.where("score is not null")
+    counts = known.groupBy("score", "gold_label").agg(F.count("*").alias("n"))
+    new = F.when(F.col("gold_label") == "NEW", F.col("n")).otherwise(0)
+    # Cases of one score and label are one row. A prefix can end within it: of NEW ones the last is best, of others the first.
+    sums = running(counts, [], [F.col("score"), F.col("gold_label")], seen=F.col("n"), right=new)
+    one = F.when(F.col("gold_label") == "NEW", 0).otherwise(F.col("n") - 1)
+    good = F.col("right") >= PRECISE * (F.col("seen") - one) - 1e-9
+    return sums.agg((F.max(F.when(good, F.col("score"))) + 1e-9).alias("t_new"))
 
 
 def cascade_rule(cases: DataFrame, kb: DataFrame, same: DataFrame, tops: DataFrame, cut: DataFrame) -> DataFrame:
