@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .ranks import running
 
 
 def position(date: str = "date", doc_id: str = "doc_id") -> Column:
@@ -31,6 +32,20 @@ def before(cases: DataFrame, library: DataFrame, case_date: str = "case_date") -
     return library.join(cases, library.date < cases[case_date])
 
 
+def with_kb_size(asked: DataFrame, library: DataFrame, at: str = "case_date") -> DataFrame:
+    """The rows with kb_size, the number of documents dated strictly before ``at``; 0 where that is null.
+
+    Days of the library and days asked for are put in one order, in which those
+    asked for come first; a running sum tells how many documents are older. No
+    day meets another one.
+    """
+    days = library.where("date is not null").groupBy(F.col("date").alias("_d")).agg(F.lit(1).alias("_k"), F.count("*").alias("_n"))
+    wanted = asked.where(F.col(at).isNotNull()).select(F.col(at).alias("_d"), F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_n")).distinct()
+    sums = running(wanted.union(days), [], [F.col("_d"), F.col("_k")], kb_size=F.col("_n")).where("_k = 0").select("_d", "kb_size")
+    out = asked.join(sums, F.col(at) == F.col("_d"), "left").drop("_d")
+    return out.withColumn("kb_size", F.coalesce("kb_size", F.lit(0)).cast("long"))
+
+
 def live(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(added: the add events that no later undo of their batch takes back; replaced: doc_id, replaced_by).
 

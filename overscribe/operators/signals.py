@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..sources.scratch import written
 from . import lexical
 from .dense import top_k
-from .library import before
+from .library import with_kb_size
 
 TITLE_KEPT, TITLE_NAMED, SHORTLIST = 0.5, 0.7, 10
 
@@ -113,10 +113,8 @@ def body_similarity(pairs: DataFrame, cases: DataFrame, library: DataFrame) -> D
 
 
 def kb_sizes(cases: DataFrame, library: DataFrame) -> DataFrame:
-    """case_id, kb_size: documents a day are counted first, so the theta join meets days, not documents."""
-    days = library.groupBy("date").agg(F.count("*").alias("n"))
-    got = before(cases.select("case_id", "case_date"), days).groupBy("case_id").agg(F.sum("n").alias("kb_size"))
-    return cases.select("case_id").join(got, "case_id", "left").select("case_id", F.coalesce("kb_size", F.lit(0)).cast("long").alias("kb_size"))
+    """case_id, kb_size: how many documents are older."""
+    return with_kb_size(cases.select("case_id", "case_date"), library).select("case_id", "kb_size")
 
 
 def top_documents(scored: DataFrame, score: str, k: int = SHORTLIST) -> DataFrame:

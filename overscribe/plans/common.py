@@ -21,6 +21,10 @@ SQL: dict[str, str] = {}
 METHODS = ["B0 majority", "B1 metadata/title", "B2 cosine", "B3 BM25", "M2 LLM + candidates"]
 
 
+#: Days over which a third of the incoming passages each is spread.
+SPANS = [50, 300, 3000]
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         REGISTRY[f.__name__] = f
@@ -42,9 +46,12 @@ def library(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    """case_id, case_title, case_text, case_date: the benchmark passages, which come after all documents."""
-    rows = table(spark, d, "benchmark").select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("case_id"), tx.title_and_text("text").alias("t"))
-    return rows.select("case_id", F.col("t.title").alias("case_title"), F.col("t.text").alias("case_text"), F.lit("9999-12-31").alias("case_date"))
+    """case_id, case_title, case_text, case_date: the benchmark passages, on days among those of small, middling and large libraries."""
+    item = F.col("item_id").cast("string")
+    span = F.element_at(F.array(*map(F.lit, SPANS)), (hash_int(F.concat(F.lit("s"), item)) % 3 + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2015-01-01"), (hash_int(F.concat(F.lit("d"), item)) % span).cast("int")), "yyyy-MM-dd")
+    rows = table(spark, d, "benchmark").select(F.concat(F.lit("b-"), item).alias("case_id"), tx.title_and_text("text").alias("t"), day.alias("case_date"))
+    return rows.select("case_id", F.col("t.title").alias("case_title"), F.col("t.text").alias("case_text"), "case_date")
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +91,7 @@ lib as (select *, date || '|' || doc_id as pos from lib2 where title <> '' or te
 CASE_SQL = rf"""
 case0 as (select item_id, {TEXT_SQL} as t from benchmark),
 case1 as (select item_id, t, split_part(t, chr(10), 1) as l from case0),
-cases as (select 'b-' || item_id as case_id, regexp_replace(l, '^#+\s*', '') as case_title, regexp_replace(substr(t, length(l) + 2), '^\s+', '') as case_text, '9999-12-31' as case_date from case1)"""
+cases as (select 'b-' || item_id as case_id, regexp_replace(l, '^#+\s*', '') as case_title, regexp_replace(substr(t, length(l) + 2), '^\s+', '') as case_text, strftime(date '2015-01-01' + cast({h("'d' || item_id")} % ({SPANS!r}[{h("'s' || item_id")} % 3 + 1]) as integer), '%Y-%m-%d') as case_date from case1)"""
 GOLD_SQL = f"""
 gold0 as (select doc_id as pos, cast(doc_id as varchar) as case_id, case when toxic = 1 then 'REDUNDANT' when quality = 1 then 'UPDATE' else 'NEW' end as gold_label from labels),
 gold as (select case_id, pos, gold_label,

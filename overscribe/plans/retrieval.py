@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import chunk, dense, lexical, methods, router, sampling, signals, vector_index
-from ..operators.library import before
+from ..operators.library import with_kb_size
 from ..operators.stats import hash_int
 from ..schemas import RouterConfig
 from .common import CASE_SQL, GOLD_SQL, LIB_SQL, cases, gold, h, library, query, table
@@ -33,7 +33,7 @@ qtok as (select case_id, len(w) as ql, unnest(w) as term from qtok0),
 qtf as materialized (select case_id, term, any_value(ql) as ql, count(*) as tf from qtok group by case_id, term),
 own as (select case_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * ql / avg))) as own from qtf join idf using (term) group by case_id),
 bm as (select case_id, doc_id, round(sum(weight) / any_value(case when own = 0 then 1 else own end), 6) as bm25 from qtf join post using (term) join own using (case_id) group by case_id, doc_id),
-top as materialized (select case_id, lib.doc_id, bm25, row_number() over (partition by case_id order by bm25 desc, pos) as rank from bm join lib on lib.doc_id = bm.doc_id)"""
+top as materialized (select case_id, lib.doc_id, bm25, row_number() over (partition by case_id order by bm25 desc, pos) as rank from bm join lib on lib.doc_id = bm.doc_id join cases using (case_id) where lib.date < case_date)"""
 
 
 def bm25_top(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
@@ -170,12 +170,9 @@ def m12_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {LIB_SQL} select d1.date, count(*) filter (d2.date < d1.date) as kb_size from (select distinct date from lib) d1, lib d2 group by d1.date")
 def j01_before(spark: SparkSession, d: str) -> DataFrame:
-    """For every day what is dated strictly before it; days are counted first, so days meet days."""
+    """For every day what is dated strictly before it, by running sums."""
     docs = library(spark, d)
-    days = docs.groupBy("date").agg(F.count("*").alias("n"))
-    asked = docs.select(F.col("date").alias("case_date")).distinct()
-    got = before(asked, days).groupBy("case_date").agg(F.sum("n").alias("kb_size"))
-    return asked.join(got, "case_date", "left").select(F.col("case_date").alias("date"), F.coalesce("kb_size", F.lit(0)).cast("long").alias("kb_size"))
+    return with_kb_size(docs.select("date").distinct(), docs, "date").select("date", "kb_size")
 
 
 @query(f"with {LIB_SQL}, {GOLD_SQL} select doc_id, title from lib where doc_id in (select case_id from gold where gold_label <> 'NEW')")
@@ -230,7 +227,7 @@ def w01_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {BM25_SQL}, n as (select case_id, doc_id, row_number() over (partition by case_id order by length(title), pos) as rank from cases, lib where length(title) >= length(case_title)),
+    f"""with {BM25_SQL}, n as (select case_id, doc_id, row_number() over (partition by case_id order by length(title), pos) as rank from cases, lib where length(title) >= length(case_title) and lib.date < case_date),
 u as (select case_id, doc_id from top where rank <= 5 union select case_id, doc_id from n where rank <= 5)
 select u.case_id, u.doc_id, cast(row_number() over (partition by case_id order by date desc, pos) as integer) as place from u join lib using (doc_id)"""
 )
@@ -240,10 +237,11 @@ def w12_candidates(spark: SparkSession, d: str) -> DataFrame:
 
     docs, c = library(spark, d), cases(spark, d)
     a = bm25_top(spark, d, 5).select("case_id", "doc_id")
-    lengths = c.select(F.length("case_title").alias("n")).distinct()
-    # Lengths, not cases, meet the titles.
-    by_length = dense.top_k(docs.select("doc_id", "pos", F.length("title").alias("len")).join(F.broadcast(lengths), F.col("len") >= F.col("n")), "n", 5, F.col("len"), F.col("pos"))
-    b = c.select("case_id", F.length("case_title").alias("n")).join(by_length, "n").select("case_id", "doc_id")
+    asked = c.select(F.length("case_title").alias("n"), "case_date").distinct()
+    # Lengths and days, not cases, meet the titles.
+    found = docs.select("doc_id", "pos", "date", F.length("title").alias("len")).join(asked, (F.col("len") >= F.col("n")) & (F.col("date") < F.col("case_date")))
+    by_length = dense.top_k(found, ["n", "case_date"], 5, F.col("len"), F.col("pos"))
+    b = c.select("case_id", "case_date", F.length("case_title").alias("n")).join(by_length.select("n", "case_date", "doc_id"), ["n", "case_date"]).select("case_id", "doc_id")
     rows = a.union(b).distinct().join(docs.select("doc_id", "date", "pos"), "doc_id")
     return rows.select("case_id", "doc_id", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("date"), "pos")).alias("place"))
 
@@ -328,9 +326,9 @@ def w04_cascade_cut(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""with {BM25_SQL}, {CASE_GOLD_SQL}, c as (select score, avg((gold_label = 'NEW')::int) over (order by score, gold_label rows unbounded preceding) as share from cg join best using (case_id) where split = 'dev'),
-cut as (select max(score) filter (share >= 0.9) + 1e-9 as t_new from c), kb as (select count(*) as n from lib where date < '9999-12-31'),
-tw as (select case_id, arg_min(doc_id, (translate(date, '0123456789', '9876543210'), pos)) as twin from cases join lib on {_BODY.format('text')} = {_BODY.format('case_text')} and case_text <> '' group by case_id),
-r as (select case_id, twin, case when n = 0 then 'NEW' when twin is not null then 'REDUNDANT' when coalesce(score, 0) < t_new then 'NEW' end as label from cases left join tw using (case_id) left join best using (case_id), cut, kb)
+cut as (select max(score) filter (share >= 0.9) + 1e-9 as t_new from c), kb as (select case_id, count(*) filter (lib.date < case_date) as n from cases, lib group by case_id),
+tw as (select case_id, arg_min(doc_id, (translate(date, '0123456789', '9876543210'), pos)) as twin from cases join lib on {_BODY.format('text')} = {_BODY.format('case_text')} and case_text <> '' and lib.date < case_date group by case_id),
+r as (select case_id, twin, case when n = 0 then 'NEW' when twin is not null then 'REDUNDANT' when coalesce(score, 0) < t_new then 'NEW' end as label from cases left join tw using (case_id) left join best using (case_id) join kb using (case_id), cut)
 select case_id, label, case when label = 'REDUNDANT' then twin end as target, label is null as escalated from r"""
 )
 def d08_cascade_rule(spark: SparkSession, d: str) -> DataFrame:

@@ -12,12 +12,12 @@ from .common import LIB_SQL, h, library, query, table
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """Signups add a document of their user's batch, purchases replace one, errors undo a batch."""
+    """Signups add a document of one of their user's five batches, purchases replace one, errors undo a batch; some batches stay."""
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     action = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "purchase", "replace").when(F.col("event_type") == "error", "undo")
     doc_id = F.concat(F.lit("file-"), F.col("user_id").cast("string"))
-    rows = e.select(F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("b"), (F.col("user_id") % 997).cast("string")).alias("batch"), doc_id.alias("_d"), k.alias("_k")).where("action is not null")
+    rows = e.select(F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("b"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("batch"), doc_id.alias("_d"), k.alias("_k")).where("action is not null")
     return rows.select(
         "seq", "action", "batch",
         F.when(F.col("action") == "add", F.struct(F.col("_d").alias("doc_id"), F.lit("your_file").alias("source"), F.concat(F.lit("t"), F.col("seq").cast("string")).alias("title"), F.lit("2020-01-01").alias("date"), F.lit("x").alias("text"))).alias("doc"),
@@ -27,7 +27,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-EVENT_SQL = """ev as (select event_id as seq, case event_type when 'signup' then 'add' when 'purchase' then 'replace' when 'error' then 'undo' end as action, 'b' || user_id % 997 as batch, 'file-' || user_id as d,
+EVENT_SQL = """ev as (select event_id as seq, case event_type when 'signup' then 'add' when 'purchase' then 'replace' when 'error' then 'undo' end as action, 'b' || user_id || '-' || event_id % 5 as batch, 'file-' || user_id as d,
     cast(coalesce(cast(json_extract(props, '$.k') as bigint), 0) as varchar) as k from events where event_type in ('signup', 'purchase', 'error')),
 adds as (select * from ev a where action = 'add' and not exists (select 1 from ev u where u.action = 'undo' and u.batch = a.batch and u.seq > a.seq)),
 lastrep as (select k as target, arg_max(d, seq) as d_by, max(seq) as s from ev where action = 'replace' group by k),
