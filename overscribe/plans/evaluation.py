@@ -11,7 +11,8 @@ from ..schemas import LABELS
 from ..sources.readers import best_runs, gold_rows
 from .common import ANSWER_SQL, GOLD_SQL, METHODS, answers, f1_sql, gold, h, macro_sql, query, table
 
-REPLICATES = 50
+#: Replicates by rows, which SQL can repeat, and by cells.
+REPLICATES, MANY = 50, 10_000
 
 
 @query(f"with {GOLD_SQL} select case_id, gold_label, gold_target, cast(len(string_split(gold_target, '|')) as bigint) as n_targets from gold")
@@ -232,6 +233,22 @@ def r04_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return stats.interval(b, "method", F.round(F.col("f1_label") - F.col("f1_other"), 9)).select("method", *(F.round(c, 6).alias(c) for c in ("low", "high", "p_le_0")))
 
 
+@query()
+def r03_bootstrap_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals by ten thousand replicates, drawn by cells."""
+    b = stats.bootstrap_cells(answers(spark, d), "method", MANY, ["label"])
+    return stats.interval(b, "method", F.col("f1_label")).select("method", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query()
+def r04_paired_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Differences from the title method, both scored on the same ten thousand replicates."""
+    rows = answers(spark, d)
+    base = rows.where(F.col("method") == METHODS[1]).select("case_id", F.col("label").alias("other"))
+    b = stats.bootstrap_cells(rows.where(F.col("method") != METHODS[1]).join(base, "case_id"), "method", MANY, ["label", "other"])
+    return stats.interval(b, "method", F.round(F.col("f1_label") - F.col("f1_other"), 9)).select("method", *(F.round(c, 6).alias(c) for c in ("low", "high", "p_le_0")))
+
+
 @query(f"with {ANSWER_SQL}, c as (select method, {h('case_id')} % 1000 / 100.0 as s, {h('case_id')} % 3 = 0 as called from ans) select method, count(*) filter (called) as calls, round(sum(case when called then s end) / count(*), 6) as s_per_case from c group by method")
 def a25_cost(spark: SparkSession, d: str) -> DataFrame:
     """Seconds by decision over all cases: those that no model was asked about count as well."""

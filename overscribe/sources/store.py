@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.chunk import upsert
 from .cache import exists
+from .scratch import written
 
 #: Columns of the store of sections.
 POINT = "id string, source_file string, idx int, content string, vector array<float>"
 
+#: Folders of the store; a file is in the one that its name's hash says.
+BUCKETS = 64
+
 
 def ensure(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
     """The store at ``path``, made empty where there is none, or where it is to be reset."""
@@ -17,6 +23,31 @@ def ensure(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
     return spark.read.schema(POINT).parquet(path)
 
 
+def _bucketed(points: DataFrame) -> DataFrame:
+    return points.withColumn("bucket", F.pmod(F.xxhash64("source_file"), F.lit(BUCKETS)).cast("int"))
+
+
+def create(points: DataFrame, path: str) -> DataFrame:
+    """The store of ``points`` at ``path``, in buckets of whole files."""
+    _bucketed(points).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return points.sparkSession.read.parquet(path)
+
+
+def upsert_files(spark: SparkSession, path: str, new: DataFrame, prune: bool = False) -> DataFrame:
+    """The bucketed store after an upsert of the points of some files: only buckets that have one of these are read and written.
+
+    A file's old tail stays if its new version is shorter, unless ``prune``. The
+    new buckets are staged as a whole before they take the old ones' place.
+    """
+    new = written(_bucketed(new), "points")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+    if touched:
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        merged = written(upsert(old, new, "id", "source_file" if prune else None), "merged")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return spark.read.parquet(path)
+
+
 def publish(df: DataFrame, root: str, run: str) -> None:
     """Write a run, then point ``latest`` to it: readers see the old run until the new one is whole."""
     df.write.mode("overwrite").parquet(f"{root}/{run}")
