@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import chunk, dense, lexical, methods, router, sampling, signals, vector_index
+from ..operators import chunk, dense, judge, lexical, methods, router, sampling, signals, vector_index
 from ..operators.library import with_kb_size
 from ..operators.stats import hash_int
 from ..schemas import RouterConfig
@@ -406,21 +406,42 @@ def d04_rerank(spark: SparkSession, d: str) -> DataFrame:
     return methods.predict_threshold(tops.where("split = 'test'"), par).select("case_id", "label", "target")
 
 
-def _routed(spark: SparkSession, d: str, config: RouterConfig) -> DataFrame:
+def _routed(spark: SparkSession, d: str, config: RouterConfig) -> tuple[DataFrame, DataFrame]:
     store = router.store_of(table(spark, d, "documents"))
     incoming = table(spark, d, "benchmark").select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("item"), "text")
-    return router.route(incoming, "item", store, config)[0]
+    return router.route(incoming, "item", store, config)
 
 
 @query()
 def d09_router(spark: SparkSession, d: str) -> DataFrame:
     """Incoming passages routed against the sections of all documents."""
-    return _routed(spark, d, RouterConfig.app())
+    return _routed(spark, d, RouterConfig.app())[0]
 
 
 @query()
 def d10_router_proto(spark: SparkSession, d: str) -> DataFrame:
-    return _routed(spark, d, RouterConfig.prototype())
+    return _routed(spark, d, RouterConfig.prototype())[0]
+
+
+@query()
+def w10_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The best sections that the passages' own sections found."""
+    config = RouterConfig.app()
+    return router.matches(_routed(spark, d, config)[1], config)
+
+
+@query()
+def k13_response(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage's verdict with its best matches, as it is answered to whoever sent it."""
+    config = RouterConfig.app()
+    decided, report = _routed(spark, d, config)
+    return router.response(decided, router.matches(report, config))
+
+
+@query()
+def d11_change_request(spark: SparkSession, d: str) -> DataFrame:
+    """What a model is asked about the first revised sections of each passage."""
+    return judge.change_request(_routed(spark, d, RouterConfig.prototype())[1])
 
 
 @query()
