@@ -46,26 +46,47 @@ def with_kb_size(asked: DataFrame, library: DataFrame, at: str = "case_date") ->
     return out.withColumn("kb_size", F.coalesce("kb_size", F.lit(0)).cast("long"))
 
 
+def facts(events: DataFrame) -> dict[str, tuple[str, DataFrame]]:
+    """What counts of a log, name -> (key, rows): of each key the row with the largest ``at``.
+
+    Facts of two parts of a log make those of the whole by the same rule, in
+    whatever order the parts come, and if one comes twice.
+    """
+    undo = events.where("action = 'undo'")
+    last = events.where("action = 'replace'").groupBy(F.col("target").alias("doc_id")).agg(F.max_by("by", "seq").alias("by"), F.max("seq").alias("at"))
+    return {
+        "adds": ("seq", events.where("action = 'add'").withColumn("at", F.col("seq"))),
+        "undone": ("batch", undo.groupBy("batch").agg(F.max("seq").alias("at"))),
+        "last": ("doc_id", last),
+        "taken": ("doc_id", undo.select(F.explode("doc_ids").alias("doc_id"), "seq").groupBy("doc_id").agg(F.max("seq").alias("at"))),
+    }
+
+
+def settled(known: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(added: the add events that no later undo of their batch takes back; replaced: doc_id, replaced_by), by the facts of a log."""
+    undone = known["undone"].select(F.col("batch").alias("_b"), F.col("at").alias("_s"))
+    adds = known["adds"].drop("at")
+    added = adds.join(undone, (F.col("batch") == F.col("_b")) & (F.col("_s") > F.col("seq")), "left_anti")
+    taken = known["taken"].select(F.col("doc_id").alias("_d"), F.col("at").alias("_s"))
+    replaced = known["last"].join(taken, (F.col("by") == F.col("_d")) & (F.col("_s") > F.col("at")), "left_anti")
+    return added, replaced.select("doc_id", F.col("by").alias("replaced_by"))
+
+
 def live(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(added: the add events that no later undo of their batch takes back; replaced: doc_id, replaced_by).
+    """(added, replaced) of a log, as :func:`settled` gives them.
 
     The last replacement of a target counts. If a later undo lists the one that
     replaced it, the target is current again; an earlier one is not restored.
     """
-    undo = events.where("action = 'undo'")
-    undone = undo.groupBy(F.col("batch").alias("_b")).agg(F.max("seq").alias("_s"))
-    adds = events.where("action = 'add'")
-    added = adds.join(undone, (adds.batch == undone._b) & (undone._s > adds.seq), "left_anti")
-    last = events.where("action = 'replace'").groupBy(F.col("target").alias("doc_id")).agg(F.max_by(F.struct(F.col("by").alias("by"), F.col("seq").alias("at")), "seq").alias("r"))
-    last = last.select("doc_id", F.col("r.by").alias("replaced_by"), F.col("r.at").alias("at"))
-    taken = undo.select(F.explode("doc_ids").alias("_d"), "seq").groupBy("_d").agg(F.max("seq").alias("_s"))
-    replaced = last.join(taken, (last.replaced_by == taken._d) & (taken._s > last["at"]), "left_anti").select("doc_id", "replaced_by")
-    return added, replaced
+    return settled({name: rows for name, (_, rows) in facts(events).items()})
 
 
 def replay(library: DataFrame, events: DataFrame) -> DataFrame:
     """The library after its log: added documents are appended, replaced ones are marked."""
-    added, replaced = live(events)
+    return with_changes(library, *live(events))
+
+
+def with_changes(library: DataFrame, added: DataFrame, replaced: DataFrame) -> DataFrame:
     new = added.select("doc.*", F.concat(F.lit("~"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("pos"))
     docs = library.unionByName(new.select(*[c for c in new.columns if c in library.columns]), allowMissingColumns=True)
     return docs.join(replaced, "doc_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.chunk import upsert
@@ -48,6 +48,22 @@ def upsert_files(spark: SparkSession, path: str, new: DataFrame, prune: bool = F
     return spark.read.parquet(path)
 
 
+def merge_latest(spark: SparkSession, path: str, rows: DataFrame, key: str, at: str = "at") -> None:
+    """Rows into a table that keeps, of each key, the row with the largest ``at``: only the buckets of their keys are read and written.
+
+    Merging the same rows again changes nothing, so a batch can be run again.
+    """
+    new = written(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), "latest")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not touched:
+        return
+    if exists(spark, path):
+        new = new.unionByName(spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)))
+    order = Window.partitionBy("bucket", key).orderBy(F.desc(at))
+    kept = written(new.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"), "merged")
+    kept.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def publish(df: DataFrame, root: str, run: str) -> None:
     """Write a run, then point ``latest`` to it: readers see the old run until the new one is whole."""
     df.write.mode("overwrite").parquet(f"{root}/{run}")
