@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,13 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..sources.scratch import written
 from . import lexical
-from .dense import top_k
-from .library import with_kb_size
+from .dense import Embedder, HashedEmbedder, embed, top_k
+from .library import before, with_kb_size
+from .ranks import place
 
-TITLE_KEPT, TITLE_NAMED, SHORTLIST = 0.5, 0.7, 10
+TITLE_KEPT, SHORTLIST = 0.5, 10
+#: Documents of a listing, the constant of rank fusion, characters that are embedded.
+RELATED, RRF, EMBEDDED = 10, 60, 1500
 
 
 def identical(cases: DataFrame, library: DataFrame) -> DataFrame:
@@ -117,6 +122,27 @@ def kb_sizes(cases: DataFrame, library: DataFrame) -> DataFrame:
     return with_kb_size(cases.select("case_id", "case_date"), library).select("case_id", "kb_size")
 
 
+def related(cases: DataFrame, library: DataFrame, k: int = RELATED, make: Callable[[], Embedder] = HashedEmbedder) -> DataFrame:
+    """(case_id, place, doc_id, date, title, rrf): the older documents that rank best by meaning, words and title together.
+
+    Every older document has a rank in all three; what a signal does not name
+    scores 0 there, and ties go to the older one. The ranks of a case are
+    worked out over ranges, so that a case may have a library of any size.
+    """
+    vectors = library.select("doc_id", "pos", "date", embed(tx.doc_text("title", "text", EMBEDDED), make, "passage").alias("_v"))
+    asked = cases.select("case_id", "case_date", embed(tx.doc_text("case_title", "case_text", EMBEDDED), make, "query").alias("_q"))
+    pairs = before(written(asked, "asked-vectors"), written(vectors, "vectors")).select("case_id", "doc_id", "pos", F.round(sim.cosine(F.col("_q"), F.col("_v")), 6).alias("cos"))
+    words = lexical.scores(cases, "case_id", tx.doc_text("case_title", "case_text"), library, "doc_id", tx.doc_text("title", "text"))
+    titles = title_pairs(cases, library).select("case_id", "doc_id", "title_sim")
+    rows = pairs.join(words, ["case_id", "doc_id"], "left").join(titles, ["case_id", "doc_id"], "left")
+    rows = rows.select("case_id", "doc_id", "pos", "cos", F.round(F.coalesce("bm25", F.lit(0.0)), lexical.PLACES).alias("bm25"), F.coalesce("title_sim", F.lit(0.0)).alias("title_sim"))
+    for name in ("cos", "bm25", "title_sim"):
+        rows = place(rows, ["case_id"], [-F.col(name), F.col("pos")], f"by_{name}")
+    best = rows.withColumn("rrf", sum(1.0 / (RRF + F.col(f"by_{name}")) for name in ("cos", "bm25", "title_sim")))
+    best = top_k(best, "case_id", k, F.desc("rrf"), F.col("pos"), name="place")
+    return best.select("case_id", "place", "doc_id", "rrf").join(library.select("doc_id", "date", "title"), "doc_id").select("case_id", "place", "doc_id", "date", "title", "rrf")
+
+
 def top_documents(scored: DataFrame, score: str, k: int = SHORTLIST) -> DataFrame:
     """The k best documents of each case, with rank; ties go to the older one."""
     return top_k(scored, "case_id", k, F.desc(score), F.col("pos"))

@@ -406,6 +406,12 @@ def d04_rerank(spark: SparkSession, d: str) -> DataFrame:
     return methods.predict_threshold(tops.where("split = 'test'"), par).select("case_id", "label", "target")
 
 
+@query()
+def k14_related(spark: SparkSession, d: str) -> DataFrame:
+    """The ten older documents that each incoming passage is listed with."""
+    return signals.related(cases(spark, d), library(spark, d)).select("case_id", "place", "doc_id", "date", F.round("rrf", 9).alias("rrf"))
+
+
 def _routed(spark: SparkSession, d: str, config: RouterConfig) -> tuple[DataFrame, DataFrame]:
     store = router.store_of(table(spark, d, "documents"))
     incoming = table(spark, d, "benchmark").select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("item"), "text")

@@ -114,6 +114,28 @@ def test_d04_reranker_method(spark, data, world):
     assert {r.case_id: (r.label, r.target) for r in REGISTRY["d04_rerank"](spark, data).collect()} == want
 
 
+def test_k14_related(spark, data, world):
+    docs, asked, _, _ = world
+    order = sorted(docs.values(), key=lambda d: d.pos)
+    words = bm25([(d.doc_id, f"{d.title}\n{d.text}", d.date, d.pos) for d in order], [(c, f"{r.case_title}\n{r.case_text}", r.case_date) for c, r in asked.items()])
+    model = dense.HashedEmbedder()
+    base = model([f"passage: {d.title}\n{d.text}"[: 9 + 1500] for d in order]).astype(float)
+    want = {}
+    for c, r in asked.items():
+        q = model(["query: " + f"{r.case_title}\n{r.case_text}"[:1500]])[0].astype(float)
+        older = [i for i, d in enumerate(order) if d.date < r.case_date]
+        alike = {i: ratio(r.nt, order[i].nt) if r.nt and order[i].nt else 0.0 for i in older}
+        fused = dict.fromkeys(older, 0.0)
+        for score in (lambda i, q=q: round(float(base[i] @ q), 6), lambda i, c=c: round(words.get((c, order[i].doc_id), 0.0), 6), lambda i, alike=alike: alike[i] if alike[i] >= 0.5 else 0.0):
+            for rank, i in enumerate(sorted(older, key=score, reverse=True)):
+                fused[i] += 1.0 / (60 + rank + 1)
+        for n, i in enumerate(sorted(older, key=lambda i: (-round(fused[i], 12), i))[:10]):
+            want[c, n + 1] = (order[i].doc_id, round(fused[i], 9))
+    got = {(r.case_id, r.place): (r.doc_id, r.rrf) for r in REGISTRY["k14_related"](spark, data).collect()}
+    assert {k: d for k, (d, _) in got.items()} == {k: d for k, (d, _) in want.items()}
+    assert {k: x for k, (_, x) in got.items()} == pytest.approx({k: x for k, (_, x) in want.items()})
+
+
 @pytest.fixture(scope="module")
 def routed(spark, data):
     """What each passage's section finds in the store of all documents' sections, and how much of it is there."""
