@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -631,3 +632,34 @@ def test_licenses(spark, docs):
     assert families("The city may license the new drivers of the night buses before the winter.") == []
     assert licenses.scan(docs.where("false"), model).count() == 0
     assert [len(r.hits) for r in licenses.scan(awkward(spark), model).collect()] == [0] * 15
+
+
+def templated(n, values, seed=3):
+    """(lines, which of them go): lines of one template, two of which are similar just if they share two of four slots; the first of each group stays."""
+    rng = np.random.default_rng(seed)
+    slots = sorted({tuple(x) for x in rng.integers(0, values, (n, 4)).tolist()}, key=lambda x: hash(x))
+    root = list(range(len(slots)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first = {}
+    for i, x in enumerate(slots):
+        for p, q in itertools.combinations(range(4), 2):
+            j = first.setdefault((p, q, x[p], x[q]), i)
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [f"user a{a} posted b{b} from c{c} near d{d} today ok" for a, b, c, d in slots], [find(i) != i for i in range(len(slots))]
+
+
+@pytest.mark.parametrize("n, values", [(12_000, 150), (48_000, 300)])
+def test_hot_keys_of_templated_lines_are_split(spark, n, values):
+    """All keys are hot, and similar lines two or three among a hundred a key: they are found by keys put together."""
+    texts, goes = templated(n, values)
+    rows = [(i, "\n".join(texts[i :: 1000])) for i in range(1000)]
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lines.dedup(df).agg({"n_dropped": "sum"}).first()[0]
+    assert 0.98 * sum(goes) <= got <= sum(goes)
