@@ -6,9 +6,11 @@ together with licensing language of no known family and with ordinary
 paragraphs of a bounded sample of the corpus. Its scores are calibrated by a
 temperature on variants held out; below the threshold that keeps apart what was
 held out of no family, whole families held out among it, a paragraph with
-licensing language is ``unknown``. A family is confirmed if the paragraph shares
-enough of a template's word pairs, and of those that no other family has, else
-the paragraph is unknown as well.
+licensing language is ``unknown``. Families near to others (GNU, Creative
+Commons) are only thought of where a paragraph has all that tells them apart,
+the version or the terms, and nothing that another one has. A family is
+confirmed if the paragraph shares enough of a template's word pairs and, of
+families without such marks, of those that no other one has; else it is unknown.
 
 A paragraph is a run of neighbouring lines with cue words, the words of the
 templates that say something about licences; a blank line or one without a cue
@@ -38,43 +40,85 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "SPDX-License-Identifier: MIT",
+        "License: MIT",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "GPL-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "Licensed under the GNU General Public License v2.0 only.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 2.1 or later.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
+        "CC BY 3.0 Unported.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License.",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+    ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported License.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "CC0": [
         "Released into the public domain under CC0 1.0 Universal.",
@@ -85,8 +129,25 @@ TEMPLATES = {
         "Copyright by the author, all rights reserved; no part may be reproduced without the prior written permission of the publisher.",
     ],
 }
+#: What families near to others must say, and what they must not, as patterns over words in lower case.
+_TWO, _THREE = r"\b(version|v|gpl|license) ?2\b", r"\b(version|v|gpl|license) ?3\b"
+_NC, _ND, _SA = r"\bnc\b|\bnon ?commercial\b", r"\bnd\b|\bno ?(derivs|derivatives)\b", r"\bsa\b|\bshare ?alike\b"
+_GNU, _OTHER_GNU, _BY = r"\bgeneral public\b|\bgpl", r"\b(affero|lesser|agpl|lgpl)|\blibrary general\b", r"\bby\b|\battribution\b"
+MARKS = {
+    "GPL-2.0": ([_GNU, _TWO], [_OTHER_GNU]),
+    "GPL-3.0": ([_GNU, _THREE], [_OTHER_GNU]),
+    "AGPL-3.0": ([r"\baffero\b|\bagpl"], []),
+    "LGPL": ([r"\blesser\b|\blgpl|\blibrary general\b"], []),
+    "CC-BY": ([_BY], [_NC, _ND, _SA]),
+    "CC-BY-NC": ([_BY, _NC], [_ND, _SA]),
+    "CC-BY-ND": ([_BY, _ND], [_NC, _SA]),
+    "CC-BY-SA": ([_BY, _SA], [_NC, _ND]),
+    "CC-BY-NC-ND": ([_BY, _NC, _ND], [_SA]),
+    "CC-BY-NC-SA": ([_BY, _NC, _SA], [_ND]),
+}
 #: Licensing language of no family above.
 UNKNOWN = [
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "Licensed under the terms in the accompanying file.",
     "This work is licensed under its own terms, see the license agreement.",
     "Use of this software is subject to the license of the vendor.",
@@ -111,6 +172,8 @@ PROSE = [
     "Poetic license lets a writer change the order of events.",
     "The publisher printed the work again after the war.",
     "The source of the river lies beyond the border.",
+    "We believe that all human rights are reserved for citizens.",
+    "The foundation published a library of general works for the public.",
 ]
 NONE, OTHER = "none", "unknown"
 FAMILIES = [*TEMPLATES, OTHER, NONE]
@@ -161,6 +224,8 @@ class Model:
             return []
         out = []
         for words, p in zip(paragraphs, self.probabilities(paragraphs), strict=True):
+            p = p * [marked(words, f) for f in FAMILIES]
+            p /= p.sum()  # unknown and none stay in
             k = int(p.argmax())
             family = FAMILIES[k]
             if family == NONE:
@@ -182,6 +247,8 @@ class Model:
                 if _weight(whole)[0] == 2:
                     single = [x for x in single if _weight(x[1:])[0] == 2]
                     single = single if any(f == whole[0] for _, f, _ in single) else [(run[0], *whole), *single]
+                elif _weight(whole)[0] == 1 and all(f == NONE for _, f, _ in single):  # language that only the lines together show
+                    single = [(run[0], *whole)]
             out += [x for x in single if x[1] != NONE]
         return out
 
@@ -191,6 +258,18 @@ def _weight(verdict: tuple[str, float]) -> tuple[int, float]:
     return (0 if verdict[0] == NONE else 1 if verdict[0] == OTHER else 2, verdict[1])
 
 
+_MARKS = {f: tuple([re.compile(x) for x in part] for part in parts) for f, parts in MARKS.items()}
+
+
+def marked(words: list[str], family: str) -> bool:
+    """Whether the words have all that tells this family from those near to it; families without MARKS, unknown and none always do."""
+    if family not in _MARKS:
+        return True
+    text = " ".join(words)
+    needed, barred = _MARKS[family]
+    return all(x.search(text) for x in needed) and not any(x.search(text) for x in barred)
+
+
 _PAIRS = {f: [set(zip(w, w[1:], strict=False)) for w in map(words_of, t)] for f, t in TEMPLATES.items()}
 
 
@@ -204,8 +283,10 @@ _OWN = {f: [t & _own(f) for t in _PAIRS[f]] for f in TEMPLATES}
 
 
 def confirmed(words: list[str], family: str) -> bool:
-    """Whether the words share enough pairs with a template, and enough of those that tell its family."""
+    """Whether the words share enough pairs with a template, and have its family's marks or, where it has none, enough of the pairs that tell it."""
     pairs = set(zip(words, words[1:], strict=False))
+    if family in _MARKS:
+        return marked(words, family) and any(t and len(pairs & t) >= CONFIRM * len(t) for t in _PAIRS[family])
     return any(own and len(pairs & own) >= CONFIRM * len(own) and len(pairs & t) >= CONFIRM * len(t) for t, own in zip(_PAIRS[family], _OWN[family], strict=True))
 
 

@@ -663,3 +663,59 @@ def test_hot_keys_of_templated_lines_are_split(spark, n, values):
     df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = lines.dedup(df).agg({"n_dropped": "sum"}).first()[0]
     assert 0.98 * sum(goes) <= got <= sum(goes)
+
+
+#: Notices as they are found in files, and what they are; empty for ordinary text.
+GNU = "This program is free software{s} you can redistribute it and/or modify\nit under the terms of the GNU{k} General Public License as published by\nthe Free Software Foundation{c} either version {v} of the License, or\n(at your option) any later version."
+NOTICES = [
+    (GNU.format(s=";",k="",c=";",v=2),"GPL-2.0"),
+    (GNU.format(s=":",k="",c=",",v=3),"GPL-3.0"),
+    (GNU.format(s=":",k=" Affero",c=",",v=3),"AGPL-3.0"),
+    (GNU.format(s=";",k=" Lesser",c=";",v="2.1"),"LGPL"),
+    ("Licensed under CC BY-NC-ND 4.0.","CC-BY-NC-ND"),
+    ("Licensed under CC BY-NC-SA 4.0.","CC-BY-NC-SA"),
+    ("Licensed under CC BY-ND 4.0.","CC-BY-ND"),
+    ("Licensed under CC BY-NC 4.0.","CC-BY-NC"),
+    ("Licensed under CC BY-SA 4.0.","CC-BY-SA"),
+    ("Licensed under CC BY 4.0.","CC-BY"),
+    ("SPDX-License-Identifier: MIT","MIT"),
+    ("SPDX-License-Identifier: Apache-2.0","Apache-2.0"),
+    ("License: MIT","MIT"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later","GPL-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-only","GPL-3.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later","LGPL"),
+    ("SPDX-License-Identifier: AGPL-3.0-only","AGPL-3.0"),
+    ("SPDX-License-Identifier: MPL-2.0","MPL-2.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause","BSD"),
+    ("This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.","unknown"),
+    ("This is free and unencumbered software released into the public domain.","Unlicense"),
+    ("We believe that all human rights are reserved for citizens.",""),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.","CC-BY"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.","CC-BY-NC-ND"),
+    ("CC BY 3.0 Unported","CC-BY"),
+    ("All rights reserved.","proprietary"),
+    ("Copyright 2020 Example Ltd. All rights reserved.","proprietary"),
+    ("Released under the MIT License.","MIT"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software","MIT"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at","Apache-2.0"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:","BSD"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.","MPL-2.0"),
+    ("Licensed under the Example Corp Source License, version 4.","unknown"),
+    ("Use is subject to the license of the vendor.","unknown"),
+    ("She lost her driving license in the forest.",""),
+    ("The general met the public in the library.",""),
+    ("He took the option and the foundation was happy.",""),
+    ("Released into the public domain under CC0 1.0 Universal.","CC0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.","LGPL"),
+    ("Licensed under the GNU General Public License v2.0 only.","GPL-2.0"),
+]
+
+
+def test_notices_of_near_families(docs):
+    """Each notice, wrapped and on one line, is named as what it is: version and terms count, not the words that families share."""
+    ordinary = [x for r in docs.collect() for x in (r.text or "").split("\n")[:4] if len(x) < 2000 and not re.search("(?i)licen|copyright|reserved|permission", x)]
+    model = licenses.train(ordinary)
+    for text, family in NOTICES:
+        for form in (text, " ".join(text.split("\n"))):
+            got = {f for _, f, _ in model.found([licenses.words_of(x) for x in form.split("\n")])}
+            assert ",".join(sorted(got)) == family, form
