@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..schemas import RouterConfig
+from ..sources.scratch import written
 from . import dense
 from .chunk import sections, with_point_id
 from .metrics import first_seen
@@ -27,7 +28,8 @@ def hits(parts: DataFrame, store: DataFrame, k: int, make: Callable = dense.Hash
     found = dense.knn(q, "q", "qv", store, "id", "vector", k)
     found = found.join(store.select("id", "source_file", "content"), "id").select("q.file", "q.idx", "id", "source_file", "content", "rank", "cosine")
     found = found.join(parts.select("file", "idx", "section"), ["file", "idx"])
-    return found.withColumn("score", dense.rerank(F.col("section"), F.col("content"), rerank)).drop("section")
+    # Written, as verdicts and matches read it several times over, and each time would embed the store anew.
+    return written(found.withColumn("score", dense.rerank(F.col("section"), F.col("content"), rerank)).drop("section"), "hits")
 
 
 def classify(parts: DataFrame, found: DataFrame, config: RouterConfig) -> DataFrame:
@@ -90,5 +92,5 @@ def route(docs: DataFrame, key: str, store: DataFrame, config: RouterConfig | No
     config = config or RouterConfig.app()
     parts = sections(docs.withColumn("file", F.col(key).cast("string")), "file").withColumnRenamed("content", "section")
     found = hits(parts, store, config.top_k, make, rerank)
-    report = classify(parts, found, config)
+    report = written(classify(parts, found, config), "report")
     return verdicts(report, found, config), report
