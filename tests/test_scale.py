@@ -4,9 +4,10 @@ import hashlib
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
-from overscribe.operators import signals, stats
+from overscribe.operators import lexical, signals, stats
 from overscribe.plans import REGISTRY, SQL
 from overscribe.schemas import LABELS
 
@@ -61,3 +62,9 @@ def test_bootstrap_has_no_window_of_a_group(spark, monkeypatch):
                 f += 2 * hit / either if either else 0
             want[g, r] = f / len(LABELS)
     assert got == pytest.approx(want)
+
+
+def test_counting_takes_few_texts_at_once():
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    parts = list(lexical.few([whole, whole.slice(0, 10)]))
+    assert max(p.num_rows for p in parts) <= lexical.TEXTS and pa.Table.from_batches(parts).num_rows == 1010
