@@ -19,8 +19,8 @@ its work per fingerprint has a fixed bound.
 
 That is op8's query. The pipeline's stage, keep_one, links texts by the Jaccard
 similarity of their five-word shingles instead (near_texts), as near copies
-differ in more bits than the Golay keys reach. Candidates share a band of least
-hashes, and shingles decide.
+differ in more bits than the Golay keys reach. Candidates are linked by the
+Golay keys or share a band of least hashes, and shingles decide.
 """
 
 from __future__ import annotations
@@ -240,13 +240,29 @@ def alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, size: int, similar
     return in_batches(pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
+def golay_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): sets of shingles (doc_id, row_hash, set) whose texts' fingerprints the Golay keys link.
+
+    The least set of a fingerprint stands for it: its other sets are paired with
+    that one, and of linked fingerprints those that stand for them.
+    """
+    fps = materialize(fingerprints(docs).distinct(), "fingerprints")
+    sets = rows.where("bands is not null").select("doc_id", "row_hash", "set").distinct()
+    of = materialize(same_row(fps, sets, "inner").select("fp", "set").distinct(), "fingerprints-of")
+    first = materialize(of.groupBy("fp").agg(F.min("set").alias("hub")), "distinct")
+    same = of.join(first, "fp").where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    linked = links(first).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").where("x <> y")
+    return same.union(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row_hash, root) of every row: root is the same for texts that links reach.
 
     Texts are linked if the Jaccard similarity of their sets of ``size``-word
     shingles is ``similarity`` or more. Two of 0.8 share one of their band keys
     with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, 0.9998, and more alike
-    ones with a higher one; what meets is compared shingle by shingle. Of a band
+    ones with a higher one. Texts whose SimHash fingerprints the Golay keys link
+    (:func:`golay_pairs`) meet as well. What meets is compared shingle by shingle. Of a band
     with over BUCKET texts each is compared with one, and, while they are in
     different groups, with HUBS others, different ones for each band: its work is
     in proportion to its size, and only a text that is alike with few of the
@@ -263,7 +279,7 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataF
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.set") < F.col("y.set")) & long_enough)
     pairs = pairs.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
     to_hub = many.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
-    pairs = materialize(pairs.union(to_hub).distinct(), "pairs")
+    pairs = materialize(pairs.union(to_hub).union(golay_pairs(docs, rows)).distinct(), "pairs")
     edges = materialize(alike(docs, pairs, sets, size, similarity), "links")
     comp = materialize(components(edges, "a", "b"), "components")
     if many.limit(1).count():
