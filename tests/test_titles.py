@@ -63,3 +63,37 @@ def test_m01_and_j10_whole(spark, data):
             best[d.doc_id] = round(max(older), 6)
     got = {r.doc_id: r.title_best for r in REGISTRY["j10_title_pairs"](spark, data).collect()}
     assert got == pytest.approx(best) and len(got) > 3
+
+
+def test_matched_is_what_the_matcher_finds():
+    from overscribe.functions.matching import matched
+
+    rng = random.Random(3)
+    for _ in range(500):
+        letters = "abcdefghijklmnopqrst海"[: rng.choice([1, 2, 3, 5, 20])]
+        a, b = ("".join(rng.choices(letters, k=rng.randint(0, 90))) for _ in "ab")
+        want = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        least = rng.randint(0, 60)
+        assert matched(a, b) == want and (a == b or matched(a, b, least) == (want if want >= least else -1))
+
+
+@pytest.mark.parametrize("words", [32, 0])
+def test_long_titles_of_the_same_grams(monkeypatch, words):
+    """Titles of one language share nearly all grams: only few pairs may be left whose blocks are worked out, and all that count."""
+    import numpy as np
+
+    monkeypatch.setattr(signals, "WORDS", words)
+    rng = random.Random(4)
+    x = ["".join(rng.choices(["the", "re", "an", "tion", "ou"], k=130)) for _ in range(40)]
+    y = [t[:150] + "q" * rng.randint(0, 30) + t[150 + rng.randint(0, 40) :] for t in x]
+    rows, cols = signals._may_be_alike(x, y, 0.9, np.ones((40, 40), bool))
+    want = {(i, j) for i in range(40) for j in range(40) if ratio(x[i], y[j]) >= 0.9}
+    assert want <= set(zip(rows.tolist(), cols.tolist())) and len(rows) < 60 and len(want) > 20
+
+
+@pytest.mark.parametrize("older", ["a", "b"])
+def test_only_older_titles_count(spark, older):
+    a = spark.createDataFrame([("abcdefgh", "2015-01-02"), ("abcdefgx", "2015-01-05"), ("abcdefgy", None)], "title string, day string")
+    b = spark.createDataFrame([("abcdefgz", "2015-01-02"), ("abcdefgw", "2015-01-04")], "title string, day string")
+    want = {("abcdefgh", "abcdefgw")} if older == "a" else {("abcdefgx", "abcdefgz"), ("abcdefgx", "abcdefgw")}
+    assert {(r.a, r.b) for r in signals.similar_titles(a, b, 0.8, older).collect()} == want
