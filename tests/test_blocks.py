@@ -55,3 +55,28 @@ def test_neighbours_as_sql_has_them_where_rounded_cosines_tie(spark, tmp_path):
         c = duckdb.connect()
         c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
         assert rows(REGISTRY[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(SQL[name]).df()), name
+
+
+def test_m10_holds_beyond_the_lists(spark, tmp_path, monkeypatch):
+    """Against all places worked out plainly: null labels and vectors come last, and few vectors are in all three lists."""
+    from overscribe.plans import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_EVERY", 40)
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((700, 4))
+    v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 2).astype(np.float32)
+    rows = [(i, None if i in (5, 41) else v[i].tolist(), None if i in (7, 80) else int(rng.integers(0, 6))) for i in range(700)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in retrieval.m10_rrf(spark, str(tmp_path)).collect():
+        got.setdefault(r.q_id, {})[r.vec_id] = r.rrf
+    last = float("inf")
+    for q, x, label in rows[::40]:
+        c = {i: -blocks.rounded(np.array([sum(float(a) * float(b) for a, b in zip(x, y))]), 6)[0] if x and y else last for i, y, _ in rows if i != q}
+        near = {i: abs(z - label) if z is not None and label is not None else last for i, _, z in rows if i != q}
+        fused = dict.fromkeys(c, 0.0)
+        for score in (c, near, {i: abs(i - q) for i in c}):
+            for n, i in enumerate(sorted(c, key=lambda i, score=score: (score[i], i))):
+                fused[i] += 1.0 / (61 + n)
+        want = sorted(fused, key=lambda i: (-round(fused[i], 9), i))[:10]
+        assert set(got[q]) == set(want) and all(abs(got[q][i] - fused[i]) < 2e-9 for i in want)
