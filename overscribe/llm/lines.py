@@ -10,24 +10,23 @@ doc_id, text hash and line number, is kept and the others are removed.
 Candidates. A SimHash of lines this similar differs in about 13 of 64 bits, too
 many for blocks of bits to be both shared and selective, so the keys are blocks
 of another kind: in one pseudo-random order of all pairs of neighbouring words,
-in which rare pairs tend to come first, a line's KEYS first pairs. An edit
-changes two pairs at most, so lines of up to 15 words that are similar enough
-always share two of them; of longer ones that differ in just a fifth a few in a
-hundred share none, of more alike ones far fewer. The parity of words in 256
-classes changes by two bits an edit at most; lines further apart in it are not
-compared word by word.
-
-Lines that share a key with few others are compared with each of them. Those of
-a hot key (over BUCKET lines) are compared with one of them, another one for
-each key; after the groups of that are known, with HUBS of them, as far as they
-are of other groups. So a big group of near copies costs in proportion to its
-size. Hot keys that still have lines of several groups are split: by two, then
-by three of a line's keys, for which MORE pairs further on in the order serve as
-well, until BUCKET lines at most share them, of which again all are compared.
-Only lines of which all that they share is shared by over BUCKET others, three
-keys of three included, depend on hubs. Keys that are hot in a sample of the
-documents are summed and joined by broadcast instead of being dealt out, so that
-no task gets all lines of one.
+in which pairs of words that are rare in the whole table tend to come first, a
+line's KEYS first pairs. An edit changes two pairs at most, so lines of up to 15
+words that are similar enough always share two of them; of longer ones that
+differ in just a fifth a few in a hundred share none, of more alike ones far
+fewer. The parity of words in classes changes by two bits an edit at most; lines
+further apart in it are not compared word by word.
+
+Lines that share a key are all compared, however many share it. Up to BUCKET
+lines of a key give pairs, whose words are joined to them. The lines of a hot
+key, over BUCKET, meet with their words in one place, TILE at once, and give a
+link only where it joins two groups, so that a group of near copies gives as
+many links as it has lines. Of a key with over TILE lines each part meets with
+the key's first line; if the key then still has lines of several groups, those
+outside the first line's group meet each other and the lines of that group, part
+by part, in bands of length. A task that has over HOT lines of a key lets just
+over BUCKET of them meet in the key's place, by which the key is known to be hot,
+and hands the others on, so that no task gets all lines of one.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, id_type, in_batches, materialize, release, same_row, small, text_hash
+from .common import BROADCAST_ROWS, DOC_COLUMNS, id_type, in_batches, materialize, release, same_row, small, text_hash
 from .components import components
 from .winnow import FOLD
 
@@ -47,18 +46,20 @@ SIMILARITY = 0.8
 FUZZY_WORDS = 4
 #: Word pairs of a line that are its keys, at most.
 KEYS = 8
-#: Pairs after these by which hot keys are split, and keys that are put together for it, at most.
-MORE, DEPTH = 4, 3
-#: Documents from which word frequencies and hot keys are taken, and words of which they are kept.
-SAMPLE, COMMON = 4_000, 50_000
-#: Lines with one key up to which all pairs are compared; beyond, lines of a key with which the others are, while they are in different groups.
-BUCKET, HUBS = 64, 16
-#: Distinct lines of the sample from which a key is joined by broadcast.
-HOT = 50
+#: Words of which frequencies are kept.
+COMMON = 50_000
+#: Lines with one key up to which all pairs are dealt out, and lines that meet at once in one place beyond.
+BUCKET, TILE = 128, 4_096
+#: Lines of a key among LINES, which a task looks at together, from which they are handed on, and to how many places.
+HOT, LINES, PLACES = 400, 20_000, 4_096
 #: Bytes of text scanned at once, texts put together for that, and lines that each task remembers.
 CHUNK, TEXTS, MEMO = 1 << 16, 200, 150_000
 #: Bits of a key and of a slot of the word frequencies.
 KEY_BITS, SLOT_BITS = 50, 20
+#: Numbers of words at which a band begins: similar lines are of one band or of neighbouring ones.
+BANDS = [1]
+while BANDS[-1] < 1 << 30:
+    BANDS.append(-(-5 * BANDS[-1] // 4))
 
 _U = np.uint64
 #: Odd numbers that hashes are made of.
@@ -133,10 +134,10 @@ def slots(words: np.ndarray) -> np.ndarray:
     return (words >> _U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def least_pairs(words: np.ndarray, first: np.ndarray, count: np.ndarray, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of keys, keys, number of further pairs, further pairs) of each line of FUZZY_WORDS words and more, each in ascending order.
+def least_pairs(words: np.ndarray, first: np.ndarray, count: np.ndarray, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of keys, keys) of each line of FUZZY_WORDS words and more, in ascending order.
 
-    common: by slot, how often words are in the sample, over the root of all its words. A pair that would be
+    common: by slot, how often words are there, over the root of all words. A pair that would be
     expected f times comes later, as if it were drawn with a weight of (1 + 50 f) ** -0.5.
     """
     n = count - 1
@@ -159,9 +160,8 @@ def least_pairs(words: np.ndarray, first: np.ndarray, count: np.ndarray, common:
     new = np.append(True, (keys[1:] != keys[:-1]) | (line[1:] != line[:-1]))
     line, keys = line[new], keys[new]
     rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(first)))[line]
-    most = np.minimum(KEYS, 2 * (count // 4) + 2)[line]
-    kept, more = rank < most, (rank >= most) & (rank < most + MORE)
-    return np.bincount(line[kept], minlength=len(first)), keys[kept].astype(np.int64), np.bincount(line[more], minlength=len(first)), keys[more].astype(np.int64)
+    kept = rank < np.minimum(KEYS, 2 * (count // 4) + 2)[line]
+    return np.bincount(line[kept], minlength=len(first)), keys[kept].astype(np.int64)
 
 
 def parities(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -181,95 +181,107 @@ def _slices(batch: pa.RecordBatch, column: int):
         yield part, _texts(part.column(column))
 
 
-def common_words(sample: DataFrame) -> np.ndarray:
-    """By slot, how often the most frequent words are in the sample, over the root of the number of all its words."""
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, line, num, words, codes) of every line that counts.
+
+    num, a hash of 64 bits, names the normalised line. codes, the hashes of its words in 32 bits each, are null for short lines and
+    most repeats.
+    """
 
     def run(batches):
-        scan, counts = Scanner(), np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        scan, seen = Scanner(), set()
         for batch in batches:
-            for _, texts in _slices(batch, 0):
-                for *_, words in scan(texts):
-                    counts += np.bincount(slots(words), minlength=1 << SLOT_BITS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
+            for part, texts in _slices(batch, 2):
+                for text, line, first, count, words in scan(texts):
+                    raw, digest = memoryview(words).cast("B"), xxhash.xxh3_64_intdigest
+                    short = memoryview((words >> _U(32)).astype(np.uint32)).cast("B")
+                    names, codes = [], []
+                    for f, n in zip(first.tolist(), count.tolist(), strict=True):
+                        names.append(k := digest(raw[8 * f : 8 * (f + n)]))
+                        new = n >= FUZZY_WORDS and k not in seen
+                        codes.append(bytes(short[4 * f : 4 * (f + n)]) if new else None)
+                        if new:
+                            seen.add(k)
+                    if len(seen) > MEMO:
+                        seen.clear()
+                    at = pa.array(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(at), part.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(np.array(names, dtype=_U).view(np.int64)), pa.array(count.astype(np.int32)), pa.array(codes, pa.binary())],
+                        ["doc_id", "row_hash", "line", "num", "words", "codes"],
+                    )
+
+    docs_ = docs.select("doc_id", text_hash().alias("row_hash"), "text")
+    return in_batches(docs_, run, f"doc_id {id_type(docs)}, row_hash long, line int, num long, words int, codes binary")
 
-    rows = in_batches(sample.select("text"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = rows.orderBy(F.desc("n"), "slot").limit(COMMON).collect()
-    out = np.zeros(1 << SLOT_BITS, dtype=np.float32)
-    out[[r.slot for r in rows]] = [r.n for r in rows]
-    return out / max(1.0, float(out.sum()) ** 0.5)
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, first, count) of lines that are given by their codes: numbers of 64 bits for the words, and where each line has its own."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    codes = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32)
+    return mixed(codes * _U(STEP)), (ends[:-1] - ends[0]) // 4, np.diff(ends) // 4
 
-def hot_keys(sample: DataFrame, common: np.ndarray) -> np.ndarray:
-    """Keys that HOT lines of the sample have; at most KEYS / HOT for each of its lines."""
-    shared = sample.sparkSession.sparkContext.broadcast(common)
+
+def common_words(known: DataFrame) -> np.ndarray:
+    """By slot, how often the most frequent words are in all lines (codes), over the root of the number of these."""
 
     def run(batches):
-        scan = Scanner()
+        counts, held = np.zeros(1 << SLOT_BITS, dtype=np.int64), []
         for batch in batches:
-            for _, texts in _slices(batch, 0):
-                for _, _, first, count, words in scan(texts):
-                    long = count >= FUZZY_WORDS
-                    if long.any():
-                        n, keys, _, _ = least_pairs(words, first[long], count[long], shared.value)
-                        raw = memoryview(words).cast("B")
-                        line = [xxhash.xxh3_64_intdigest(raw[8 * f : 8 * (f + c)]) for f, c in zip(first[long].tolist(), count[long].tolist(), strict=True)]
-                        line = np.repeat(np.array(line, dtype=_U).view(np.int64), n)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(line)], ["block", "line"])
-
-    keys = in_batches(sample.select("text"), run, "block long, line long").distinct()
-    rows = keys.groupBy("block").count().where(F.col("count") >= HOT).collect()
-    return np.array(sorted(r.block for r in rows), dtype=np.int64)
+            held.append(slots(_words(batch.column(0))[0]))
+            if sum(map(len, held)) > 1 << SLOT_BITS:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held = []
+        for x in held:
+            counts += np.bincount(x, minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
 
+    rows = in_batches(known.select("codes"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = rows.orderBy(F.desc("n"), "slot").limit(COMMON).collect()
+    out = np.zeros(1 << SLOT_BITS, dtype=np.float32)
+    out[[r.slot for r in rows]] = [r.n for r in rows]
+    return out / max(1.0, float(out.sum()) ** 0.5)
 
-def sample_of(docs: DataFrame) -> DataFrame:
-    """The text of about SAMPLE documents."""
-    every = max(1, docs.count() // SAMPLE)
-    return materialize(docs.where(F.pmod(text_hash(), F.lit(every)) == 0).select("text"), "sample")
 
+def keyed(known: DataFrame) -> DataFrame:
+    """(block, num, p, q, words): a row for each key of the lines (num, codes); p and q, the parity of words in 128 classes.
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, line, num, words, p0-p3, blocks, hot, more, codes) of every line that counts.
-
-    num, a hash of 64 bits, names the normalised line. Parities, keys (blocks, those hot in the sample in ``hot``), further pairs
-    and codes, the hashes of the words in 32 bits each, are null for short lines and most repeats.
+    Rows beyond the first BUCKET + 1 of a key with over HOT lines among LINES have one of PLACES numbers above the key's bits.
     """
-    sample = sample_of(docs)
-    common = common_words(sample)
-    shared = docs.sparkSession.sparkContext.broadcast((common, hot_keys(sample, common)))  # 4 MB and a few thousand numbers, by SAMPLE
-    release(sample)
-    lists = pa.list_(pa.int64())
+    shared = known.sparkSession.sparkContext.broadcast(common_words(known))  # 4 MB
+    most = HOT
+
+    def told(held):
+        num, count, p, q, n, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        of = np.repeat(np.arange(len(num)), n)
+        by = np.lexsort((num[of], keys))
+        of, keys = of[by], keys[by]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (num[of[1:]] != num[of[:-1]]))
+        of, keys = of[new], keys[new]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(start, append=len(keys))
+        on = (np.repeat(size, size) > most) & (np.arange(len(keys)) - np.repeat(start, size) > BUCKET)
+        keys = np.where(on, keys | ((num[of] & (PLACES - 1)) + 1) << KEY_BITS, keys)
+        for at in range(0, len(keys), 10_000):
+            o = of[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[at : at + 10_000], num[o], p[o], q[o], count[o].astype(np.int32))], ["block", "num", "p", "q", "words"])
 
     def run(batches):
-        scan, seen = Scanner(), set()
-        common, hot = shared.value
+        held, lines = [], 0
         for batch in batches:
-            for part, texts in _slices(batch, 2):
-                for text, line, first, count, words in scan(texts):
-                    raw, digest = memoryview(words).cast("B"), xxhash.xxh3_64_intdigest
-                    names = [digest(raw[8 * f : 8 * (f + n)]) for f, n in zip(first.tolist(), count.tolist(), strict=True)]
-                    new = np.array([n >= FUZZY_WORDS and k not in seen and not seen.add(k) for n, k in zip(count.tolist(), names, strict=True)], dtype=bool)
-                    if len(seen) > MEMO:
-                        seen.clear()
-                    n, keys, n_more, more = least_pairs(words, first[new], count[new], common) if new.any() else [np.zeros(0, np.int64)] * 4
-                    found = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
-                    of, of_more = np.repeat(np.flatnonzero(new), n), np.repeat(np.flatnonzero(new), n_more)
-                    lists_ = []
-                    for line_of, values in ((of[~found], keys[~found]), (of[found], keys[found]), (of_more, more)):
-                        sizes = np.bincount(line_of, minlength=len(first))
-                        offsets = pa.array([int(x) if ok else None for x, ok in zip(np.cumsum(sizes) - sizes, new.tolist(), strict=True)] + [int(sizes.sum())], pa.int32())
-                        lists_.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
-                    short = memoryview((words >> _U(32)).astype(np.uint32)).cast("B")
-                    codes = pa.array([bytes(short[4 * f : 4 * (f + k)]) if ok else None for f, k, ok in zip(first.tolist(), count.tolist(), new.tolist(), strict=True)], pa.binary())
-                    at = pa.array(text)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(at), part.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(np.array(names, dtype=_U).view(np.int64)), pa.array(count.astype(np.int32))]
-                        + [pa.array(p, mask=~new) for p in parities(words, first)] + [x.cast(lists) for x in lists_] + [codes],
-                        ["doc_id", "row_hash", "line", "num", "words", "p0", "p1", "p2", "p3", "blocks", "hot", "more", "codes"],
-                    )
+            words, first, count = _words(batch.column(1))
+            n, keys = least_pairs(words, first, count, shared.value)
+            parts = parities(words, first)
+            held.append((batch.column(0).to_numpy(), count, parts[0] ^ parts[2], parts[1] ^ parts[3], n, keys))
+            lines += batch.num_rows
+            if lines >= LINES:
+                yield from told(held)
+                held, lines = [], 0
+        if held:
+            yield from told(held)
 
-    docs_ = docs.select("doc_id", text_hash().alias("row_hash"), "text")
-    return in_batches(docs_, run, f"doc_id {id_type(docs)}, row_hash long, line int, num long, words int, p0 long, p1 long, p2 long, p3 long, blocks array<long>, hot array<long>, more array<long>, codes binary")
+    return in_batches(known.select("num", "codes"), run, "block long, num long, p long, q long, words int")
 
 
 def edits(a: list, b: list, most: int) -> int:
@@ -315,46 +327,34 @@ def similar(a: list, b: list) -> bool:
     return edits(a, b, most) <= most
 
 
-def _near(words_a: np.ndarray, words_b: np.ndarray, differing: np.ndarray) -> np.ndarray:
-    """Whether lengths and the differing bits of parities allow that two lines are similar enough."""
-    most = (np.maximum(words_a, words_b) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-    return (np.abs(words_a - words_b) <= most) & (differing <= 2 * most)
-
-
 def meetings(rows: DataFrame) -> DataFrame:
-    """(hot, a, b, parity, words) of rows (block, num, parity, words), which may repeat.
+    """(hot, a, b, words) of rows of :func:`keyed`, which may repeat.
 
-    Where hot is false, a and b are two lines that may be similar, and the rest is 0; else line b has key a, which over BUCKET lines have;
-    these are compared with the first of them. Rows come in order of their key, so that a task holds BUCKET rows and a batch at most.
+    Where hot is false, a and b are two lines that may be similar; else line b, of so many words, has key a, which over BUCKET lines have.
+    Rows come in order of their key, so that a task holds BUCKET rows and a batch at most.
     """
 
     def run(batches):
-        hub = None  # the first row of the key that is open and over BUCKET
-        held = np.zeros((4, 0), dtype=np.int64)
+        held, going = np.zeros((5, 0), dtype=np.int64), -1  # rows of the last key, which may go on, and the last key if it is hot
         for batch in batches:
             now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            rows, hub, out = _met(np.concatenate([held, now], axis=1), hub, False)
-            held = rows
+            held, going, out = _met(np.concatenate([held, now], axis=1), going, False)
             yield out
-        _, _, out = _met(held, hub, True)
-        yield out
+        yield _met(held, going, True)[2]
 
-    rows = rows.select("block", "num", "parity", "words").repartition("block").sortWithinPartitions("block", "num")
-    return in_batches(rows, run, "hot boolean, a long, b long, parity long, words int", 10_000)
+    rows = rows.repartition("block").sortWithinPartitions("block", "num")
+    return in_batches(rows, run, "hot boolean, a long, b long, words int", 10_000)
 
 
-def _met(x: np.ndarray, hub: np.ndarray | None, last: bool) -> tuple[np.ndarray, np.ndarray | None, pa.RecordBatch]:
-    """For :func:`meetings`: (rows of the last key, which may go on; its hub if it is hot; what the others give)."""
+def _met(x: np.ndarray, going: int, last: bool) -> tuple[np.ndarray, int, pa.RecordBatch]:
+    """For :func:`meetings`: (rows of the last key, which may go on; that key if it is hot; what the others give)."""
     if x.shape[1]:
         x = x[:, np.append(True, (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1]))]
-    block, num, parity, words = x
+    block, num, p, q, words = x
     n = len(block)
     start = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(start, append=n)
-    going = n and hub is not None and block[0] == hub[0]
-    many = size > BUCKET
-    if going:
-        many[0] = True
+    many = (size > BUCKET) | (block[start] == going) | (block[start] >> KEY_BITS > 0)
     done = n if last or not n or many[-1] else start[-1]
     each = np.repeat(many, size)[:done]
     pairs = [np.zeros((2, 0), dtype=np.int64)]
@@ -364,37 +364,18 @@ def _met(x: np.ndarray, hub: np.ndarray | None, last: bool) -> tuple[np.ndarray,
         i = i[block[i + k] == block[i]]
         if not len(i):
             break
-        ok = i[_near(words[i], words[i + k], np.bitwise_count((parity[i] ^ parity[i + k]).view(_U)))]
+        most = (np.maximum(words[i], words[i + k]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+        bits = np.bitwise_count((p[i] ^ p[i + k]).view(_U)).astype(np.int64) + np.bitwise_count((q[i] ^ q[i + k]).view(_U))
+        ok = i[(np.abs(words[i] - words[i + k]) <= most) & (bits <= 2 * most)]
         pairs.append(np.stack([num[ok], num[ok + k]]))
-    hot = np.flatnonzero(each)
-    if len(hot):
-        to = np.repeat(start, size)[hot]
-        h = np.ascontiguousarray(x[:, to])
-        if going:
-            h[:, : size[0]] = hub[:, None]
-        ok = _near(words[hot], h[3], np.bitwise_count((parity[hot] ^ h[2]).view(_U))) & (num[hot] != h[1])
-        pairs.append(np.stack([h[1], num[hot]])[:, ok])
-    pairs = np.concatenate(pairs, axis=1)
-    new_hub = None
-    if n and many[-1]:
-        new_hub = hub if going and len(start) == 1 else x[:, start[-1]].copy()
-    none = np.zeros(pairs.shape[1], dtype=np.int64)
-    out = [np.append(pairs[0], block[hot]), np.append(pairs[1], num[hot]), np.append(none, parity[hot]), np.append(none, words[hot]).astype(np.int32)]
+    pairs, hot = np.concatenate(pairs, axis=1), np.flatnonzero(each)
+    out = [np.append(pairs[0], block[hot] & ((1 << KEY_BITS) - 1)), np.append(pairs[1], num[hot]), np.append(np.zeros(pairs.shape[1], np.int64), words[hot]).astype(np.int32)]
     of = pa.array(np.repeat([False, True], [pairs.shape[1], len(hot)]))
-    return x[:, done:], new_hub, pa.RecordBatch.from_arrays([of, *map(pa.array, out)], ["hot", "a", "b", "parity", "words"])
-
-
-def verified(occ: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line numbers whose lines are similar enough; lines: (num, words, p0-p3), one row a line."""
-    x, y = lines.alias("x"), lines.alias("y")
-    longer = F.greatest("x.words", "y.words")
-    most = F.floor(longer * (1 - SIMILARITY) + 1e-9)
-    bits = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(4)), F.lit(0))
-    pairs = pairs.join(x, F.col("a") == F.col("x.num")).join(y, F.col("b") == F.col("y.num")).where(bits <= 2 * most)
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct(), "wanted")
-    texts = occ.where("codes is not null").select("num", "codes").join(small(wanted), F.col("num") == F.col("_n"), "left_semi")
-    texts = materialize(texts.dropDuplicates(["num"]), "codes")
+    return x[:, done:], int(block[-1]) if n and many[-1] else -1, pa.RecordBatch.from_arrays([of, *map(pa.array, out)], ["hot", "a", "b", "words"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line numbers whose lines (num, codes) are similar enough."""
 
     def run(batches):
         for batch in batches:
@@ -404,38 +385,115 @@ def verified(occ: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    out = materialize(in_batches(both, run, "a long, b long"), "links")
-    release(pairs), release(wanted), release(texts)
+    return in_batches(both, run, "a long, b long")
+
+
+def _linked(num: np.ndarray, root: np.ndarray, codes: pa.Array) -> list[tuple[int, int]]:
+    """Pairs of similar lines, as many as it takes to put all of these together that are not yet; root: their groups so far."""
+    words, first, count = _words(codes)
+    bits, by = np.stack(parities(words, first), axis=1).view(_U), np.argsort(count, kind="stable")
+    num, root, first, n, bits = num[by], root[by], first[by], count[by], bits[by]
+    group = np.unique(root, return_inverse=True)[1]
+    left = group.max()
+    most, end = (n * (1 - SIMILARITY) + 1e-9).astype(np.int64), np.searchsorted(n, n * 5 // 4, "right")
+    out, lists = [], {}
+
+    def line(i):
+        if i not in lists:
+            lists[i] = words[first[i] : first[i] + n[i]].tolist()
+        return lists[i]
+
+    for i in range(len(n)):
+        if not left:
+            break
+        j = i + 1 + np.flatnonzero(group[i + 1 : end[i]] != group[i])
+        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
+        for k in j.tolist():
+            if group[k] != group[i] and similar(line(i), line(k)):
+                out.append((int(num[i]), int(num[k])))
+                group[group == group[k]] = group[i]
+                left -= 1
     return out
 
 
-def _parity() -> F.Column:
-    return F.col("p0").bitwiseXOR(F.col("p1")).bitwiseXOR(F.col("p2")).bitwiseXOR(F.col("p3"))
+def linked(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that put the similar lines together that are in one part of a key; rows: (block, part, num, root), texts: (num, codes)."""
 
+    def told(held):
+        num, root, codes = (pa.concat_arrays([b.column(c) for b in held]) for c in (2, 3, 4))
+        num, at = np.unique(num.to_numpy(), return_index=True)
+        pairs = _linked(num, root.to_numpy()[at], codes.take(pa.array(at))) if len(num) > 1 else []
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def groups(occ: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, root): the group of each line number that is linked to another one."""
-    known = occ.where("p0 is not null").select("num", _parity().alias("parity"), "words", "blocks", "hot", "more")
-    met = materialize(meetings(known.select(F.explode("blocks").alias("block"), "num", "parity", "words")), "met")
-    # Keys that the sample has often are not dealt out: their least lines are few, and are sent to all.
-    often = known.select(F.explode("hot").alias("block"), "num", "parity", "words")
-    few = small(materialize(hubs(often, 1), "hubs"))  # as many rows as there are such keys
-    pairs = met.where("not hot").select("a", "b").union(_with_hubs(often, few)).distinct()
-    edges = verified(occ, pairs, lines)
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            block, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            start = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]))) if len(block) else []
+            for s, e in zip(start, [*start[1:], len(block)], strict=True):
+                if held and last != (block[s], part[s]):
+                    yield told(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = block[s], part[s]
+        if held:
+            yield told(held)
+
+    rows = rows.join(texts.withColumnRenamed("num", "_n"), F.col("num") == F.col("_n")).select("block", "part", "num", "root", "codes")
+    return in_batches(rows.repartition("block", "part").sortWithinPartitions("block", "part"), run, "a long, b long")
+
+
+def groups(known: DataFrame) -> DataFrame:
+    """(node, root): the group of each line (num, codes) that is linked to another one."""
+    met = materialize(meetings(keyed(known)), "met")
+    pairs = materialize(met.where("not hot").select("a", "b").distinct(), "pairs")
+    hot = met.where("hot").select(F.col("a").alias("block"), F.col("b").alias("num"), "words")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_n")).union(hot.select("num")).distinct()
+    wanted = materialize(wanted, "wanted")
+    texts = known.join(small(wanted, 2 * BROADCAST_ROWS), F.col("num") == F.col("_n"), "left_semi")  # a number a row
+    texts = materialize(texts.dropDuplicates(["num"]), "codes")
+    sizes = hot.groupBy("block").agg(F.count("*").alias("n"), F.min("num").alias("first")).where(F.col("n") > TILE)
+    sizes = materialize(sizes.withColumnRenamed("block", "_b"), "sizes")
+    rows = hot.join(F.broadcast(sizes) if (large := sizes.limit(BROADCAST_ROWS).count()) < BROADCAST_ROWS else sizes, F.col("block") == F.col("_b"), "left")
+    n = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1))
+    part = F.when(F.col("num") == F.col("first"), F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.pmod(F.xxhash64("num"), n)))
+    rows = rows.select("block", F.explode(part).alias("part"), "num", F.col("num").alias("root"))
+    edges = materialize(verified(pairs, texts).union(linked(rows, texts)), "links")
     comp = materialize(components(edges, "a", "b"), "groups")
-    hot = met.where("hot").select(F.col("a").alias("block"), F.col("b").alias("num"), "parity", "words").union(often)
-    for candidates in (lambda rows: _with_hubs(rows, hubs(rows, HUBS)), lambda rows: split(rows, known)):
-        rows = hot.join(comp, F.col("num") == F.col("node"), "left").select("block", "num", "parity", "words", F.coalesce("root", "num").alias("root"))
-        rows = materialize(rows, "hot")
-        across = materialize(candidates(rows).distinct(), "across")
+    if large:
+        root = F.coalesce("root", "num").alias("root")
+        rows = hot.join(sizes, F.col("block") == F.col("_b")).join(comp, F.col("num") == F.col("node"), "left").select("block", "num", "words", root)
+        rows = materialize(rows.distinct(), "large")
+        more = materialize(linked(tiles(rows), texts), "links")
+        comp = _together(comp, more)
         release(rows)
-        if across.limit(1).count():
-            comp = _together(comp, verified(occ, across, lines))
-        release(across)
-    release(met)
+    for x in (met, pairs, wanted, texts, sizes, edges):
+        release(x)
     return comp
 
 
+def tiles(rows: DataFrame) -> DataFrame:
+    """(block, part, num, root): lines (block, num, words, root) put to parts so that each two of a key that may be similar and are not of one group meet.
+
+    Lines of the group of the key's first line meet just the others, in parts of TILE at most of each; the others meet each other as well. Lines
+    of a band meet those of it and of the next one. Only here rows come several times: their number is that of lines times TILEs of others.
+    """
+    first = rows.groupBy("block").agg(F.min_by("root", "num").alias("_main")).withColumnRenamed("block", "_b")
+    band = F.size(F.filter(F.array(*map(F.lit, BANDS)), lambda x: x <= F.col("words")))
+    rows = rows.join(first, F.col("block") == F.col("_b")).withColumn("other", F.col("root") != F.col("_main"))
+    rows = rows.select("block", "num", "root", "other", F.explode(F.array(band, band + 1)).alias("band"))
+    sizes = rows.groupBy("block", "band").agg(F.count_if("other").alias("m"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    sizes = sizes.where("lo < hi").select(F.col("block").alias("_b"), F.col("band").alias("_band"), F.ceil(F.col("m") / TILE).alias("g"), F.ceil((F.col("n") - F.col("m")) / TILE).alias("h"))
+    rows = rows.join(sizes, (F.col("block") == F.col("_b")) & (F.col("band") == F.col("_band")))
+    mine = F.pmod(F.xxhash64("num"), F.when(F.col("other"), F.col("g")).otherwise(F.col("h")))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)  # noqa: E731  none if n is 0
+    others = F.transform(upto(F.col("g")), lambda i: F.xxhash64("band", F.lit(0), F.least(i, mine), F.greatest(i, mine)))
+    meets_main = F.transform(upto(F.col("h")), lambda i: F.xxhash64("band", F.lit(1), i, mine))
+    main = F.transform(upto(F.col("g")), lambda i: F.xxhash64("band", F.lit(1), mine, i))
+    return rows.select("block", F.explode(F.when(F.col("other"), F.concat(others, meets_main)).otherwise(main)).alias("part"), "num", "root")
+
+
 def _together(comp: DataFrame, new: DataFrame) -> DataFrame:
     """The groups (node, root) after more links (a, b); only groups that these touch are put together anew."""
     of = comp.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -447,76 +505,20 @@ def _together(comp: DataFrame, new: DataFrame) -> DataFrame:
     return materialize(moved.union(alone), "groups")
 
 
-def split(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b) of lines of different groups that share keys of rows (block, num, parity, words, root), all of them hot.
-
-    known: (num, more), which may repeat. The rows are put to sets of two keys and then, as far as over BUCKET lines of several groups
-    share these, to sets of one key more; sets grow in the order of keys, so that each comes once. Lines of a set of BUCKET
-    or less are all compared, those of larger ones, at DEPTH, with HUBS of them.
-    """
-    several = rows.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("block").alias("_b"))
-    kept = rows.join(several, F.col("block") == F.col("_b"))
-    kept = kept.groupBy("num").agg(*(F.max(c).alias(c) for c in ("parity", "words", "root")), F.collect_set("block").alias("hot"))  # KEYS at most
-    more = known.select(F.col("num").alias("_num"), "more").dropDuplicates(["_num"])
-    kept = kept.join(more, F.col("num") == F.col("_num")).withColumn("keys", F.sort_array(F.concat("hot", "more")))
-    kept = materialize(kept.select("num", "parity", "words", "root", "hot", "keys"), "split")
-    sets = kept.select("num", "parity", "words", "root", "keys", F.explode("hot").alias("last")).withColumn("block", F.col("last"))
-    out = []
-    for depth in range(2, DEPTH + 1):
-        sets = sets.select("num", "parity", "words", "root", "block", F.explode(F.filter("keys", lambda k: k > F.col("last"))).alias("last"))
-        sets = sets.withColumn("block", F.xxhash64("block", "last"))
-        sizes = sets.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        sizes = small(materialize(sizes.where("lo < hi").select(F.col("block").alias("_b"), "n"), "sizes"))
-        sets = materialize(sets.join(sizes, F.col("block") == F.col("_b")).drop("_b"), "sets")
-        few = sets.where(F.col("n") <= BUCKET).select("block", "num", "parity", "words", "root")
-        x, y = few.alias("x"), few.alias("y")
-        most = F.floor(F.greatest("x.words", "y.words") * (1 - SIMILARITY) + 1e-9)
-        near = (F.abs(F.col("x.words") - F.col("y.words")) <= most) & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= 2 * most)
-        same = (F.col("x.block") == F.col("y.block")) & (F.col("x.num") < F.col("y.num")) & (F.col("x.root") != F.col("y.root"))
-        out.append(x.join(y, same & near).select(F.col("x.num").alias("a"), F.col("y.num").alias("b")))
-        sets = sets.where(F.col("n") > BUCKET).drop("n")
-        if depth < DEPTH:
-            sets = sets.join(kept.select(F.col("num").alias("_num"), "keys"), F.col("num") == F.col("_num")).drop("_num")
-    out.append(_with_hubs(sets, hubs(sets, HUBS)))
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.union(more)
-    return pairs
-
-
-def hubs(rows: DataFrame, n: int) -> DataFrame:
-    """(block, h): n lines of each key at most, other ones for each; a grouped minimum for each n-th of its lines."""
-    part = F.pmod(F.xxhash64("num"), F.lit(n))
-    root = F.col("root") if "root" in rows.columns else F.col("num")
-    least = F.min(F.struct(F.xxhash64("block", "num").alias("o"), "num", "parity", "words", root.alias("root")))
-    return rows.groupBy("block", part.alias("_part")).agg(least.alias("h")).select(F.col("block").alias("_b"), "h")
-
-
-def _with_hubs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): each line with the hubs of its keys that it may be similar to, and is not in a group with."""
-    most = F.floor(F.greatest(F.col("words"), F.col("h.words")) * (1 - SIMILARITY) + 1e-9)
-    bits = F.bit_count(F.col("parity").bitwiseXOR(F.col("h.parity")))
-    root = F.col("root") if "root" in rows.columns else F.col("num")
-    near = (F.abs(F.col("words") - F.col("h.words")) <= most) & (bits <= 2 * most) & (root != F.col("h.root"))
-    return rows.join(found, (F.col("block") == F.col("_b")) & near).select(F.least("num", "h.num").alias("a"), F.greatest("num", "h.num").alias("b"))
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, lines): the numbers of the lines to remove, for rows that have any."""
     occ = materialize(occurrences(docs), "lines")
+    comp = groups(occ.where("codes is not null").select("num", "codes"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "line")
-    agg = [F.min(place).alias("at"), F.max("words").alias("words"), F.count("*").alias("n"), *(F.max(f"p{i}").alias(f"p{i}") for i in range(4))]
-    distinct = materialize(occ.groupBy("num").agg(*agg), "keys")
-    comp = groups(occ, distinct.where("p0 is not null"))
-    grouped = distinct.join(comp, distinct.num == comp.node, "left").select("num", "at", "n", F.col("root"))
-    again = grouped.where("root is null and n > 1").select("num", "at")
-    linked = grouped.where("root is not null")
-    first = linked.groupBy("root").agg(F.min("at").alias("at")).withColumnRenamed("root", "_root")
-    again = materialize(again.union(linked.drop("at").join(first, F.col("root") == F.col("_root")).select("num", "at")), "again")
-    drop = occ.join(again.withColumnRenamed("num", "_num"), F.col("num") == F.col("_num")).where(~place.eqNullSafe(F.col("at")))
+    again = occ.groupBy("num").agg(F.min(place).alias("at"), F.count("*").alias("n")).join(comp, F.col("num") == F.col("node"), "left")
+    again = again.where("root is not null or n > 1").select("num", "at", F.coalesce("root", "num").alias("root"))
+    again = materialize(again, "again")
+    first = again.groupBy("root").agg(F.min("at").alias("at")).withColumnRenamed("root", "_root")
+    first = again.select(F.col("num").alias("_num"), "root").join(first, F.col("root") == F.col("_root")).select("_num", "at")
+    drop = occ.select("doc_id", "row_hash", "line", "num").join(first, F.col("num") == F.col("_num")).where(~place.eqNullSafe(F.col("at")))
     out = drop.select("doc_id", "row_hash", "line").distinct().groupBy("doc_id", "row_hash").agg(F.collect_list("line").alias("lines"))
     out = materialize(out, "removals")
-    release(occ), release(distinct), release(again)
+    release(occ), release(again), release(comp)
     return out
 
 
