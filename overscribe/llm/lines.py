@@ -327,6 +327,18 @@ def similar(a: list, b: list) -> bool:
     return edits(a, b, most) <= most
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """:func:`similar` for two lines' codes. Most that are differ in no more places, counted from their starts or ends, than edits are allowed."""
+    if len(a) < len(b):
+        a, b = b, a
+    most, more = most_edits(len(a)), len(a) - len(b)
+    if more > most:
+        return False
+    if np.count_nonzero(a[: len(b)] != b) + more <= most or more and np.count_nonzero(a[more:] != b) + more <= most:
+        return True
+    return similar(a.tolist(), b.tolist())
+
+
 def meetings(rows: DataFrame) -> DataFrame:
     """(hot, a, b, words) of rows of :func:`keyed`, which may repeat.
 
@@ -375,14 +387,29 @@ def _met(x: np.ndarray, going: int, last: bool) -> tuple[np.ndarray, int, pa.Rec
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line numbers whose lines (num, codes) are similar enough."""
+    """Those pairs (a, b) of lines (num, codes) that are similar enough, without most that a task's other pairs link already."""
 
     def run(batches):
+        group: dict[int, int] = {}
+
+        def root(x):
+            while (y := group.get(x, x)) != x:
+                group[x] = group.get(y, y)
+                x = y
+            return x
+
         for batch in batches:
-            x, y = (c.to_pylist() for c in batch.columns[2:])
-            ok = [i for i in range(len(x)) if similar(np.frombuffer(x[i], np.uint32).tolist(), np.frombuffer(y[i], np.uint32).tolist())]
-            ok = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            ok = []
+            for i in range(len(a)):
+                p, q = root(a[i]), root(b[i])
+                if p != q and alike(np.frombuffer(x[i], np.uint32), np.frombuffer(y[i], np.uint32)):
+                    group[p] = q
+                    ok.append(i)
+            if len(group) > MEMO:
+                group.clear()
+            at = pa.array(ok, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return in_batches(both, run, "a long, b long")
@@ -396,20 +423,15 @@ def _linked(num: np.ndarray, root: np.ndarray, codes: pa.Array) -> list[tuple[in
     group = np.unique(root, return_inverse=True)[1]
     left = group.max()
     most, end = (n * (1 - SIMILARITY) + 1e-9).astype(np.int64), np.searchsorted(n, n * 5 // 4, "right")
-    out, lists = [], {}
-
-    def line(i):
-        if i not in lists:
-            lists[i] = words[first[i] : first[i] + n[i]].tolist()
-        return lists[i]
-
+    line = lambda i: words[first[i] : first[i] + n[i]]
+    out = []
     for i in range(len(n)):
         if not left:
             break
         j = i + 1 + np.flatnonzero(group[i + 1 : end[i]] != group[i])
         j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
         for k in j.tolist():
-            if group[k] != group[i] and similar(line(i), line(k)):
+            if group[k] != group[i] and alike(line(i), line(k)):
                 out.append((int(num[i]), int(num[k])))
                 group[group == group[k]] = group[i]
                 left -= 1

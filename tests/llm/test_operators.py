@@ -457,6 +457,37 @@ def test_line_links_of_hot_keys(spark):
     lines.HOT = before
 
 
+
+def test_alike_lines():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (rng.integers(0, 4, rng.integers(1, 40)).astype(np.uint32) for _ in range(2))
+        if rng.random() < 0.7:
+            b = a[rng.random(len(a)) > 0.15]
+        assert lines.alike(a, b) == lines.similar(a.tolist(), b.tolist())
+
+
+def test_word_frequencies_come_from_all_lines(spark):
+    """No count is from a part of the documents: each word counts as often as lines have it."""
+    texts = ["all lines have these words", *(f"also w{i} w{i + 1} w{i + 2}" for i in range(9_000))]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lines.common_words(lines.occurrences(df).where("codes is not null").select("num", "codes"))
+    total = sum(len(t.split()) for t in texts)
+    assert got.max() == pytest.approx(9_000 / total**0.5) and got.sum() == pytest.approx(total**0.5, rel=1e-3)
+
+
+def test_lines_of_very_hot_keys_all_meet(spark, monkeypatch):
+    """One key has more lines than meet in one place: near copies of its first line, and others, of which two are similar."""
+    monkeypatch.setattr(lines, "TILE", 8)
+    monkeypatch.setattr(lines, "keyed", lambda known: known.select(F.lit(7).cast("long").alias("block"), "num", *(F.lit(0).cast("long").alias(c) for c in "pq"), (F.length("codes") / 4).cast("int").alias("words")))
+    near = [f"a b c d e f g h i j k l m n x{i}" for i in range(100)]
+    rest = [" ".join(f"{c}{i}" for c in "qrstuvwxyz"[: 5 + i % 6]) for i in range(60)]
+    rest += [f"{rest[k]} more" for k in (3, 11, 27)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(near + rest)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in lines.dedup(df).where("text <> ''").collect()}
+    assert got == {0, *range(100, 160)}
+
+
 # 8
 
 
