@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +53,8 @@ BUCKET, TILE = 128, 4_096
 HOT, LINES, PLACES = 400, 20_000, 4_096
 #: Bytes of text scanned at once, texts put together for that, and lines that each task remembers.
 CHUNK, TEXTS, MEMO = 1 << 16, 200, 150_000
+#: Pairs of lines and bytes of words that are put together to be compared, and cells of edit matrices at once.
+PAIRS, BYTES, CELLS = 20_000, 1 << 23, 1 << 23
 #: Bits of a key and of a slot of the word frequencies.
 KEY_BITS, SLOT_BITS = 50, 20
 #: Numbers of words at which a band begins: similar lines are of one band or of neighbouring ones.
@@ -63,7 +64,7 @@ while BANDS[-1] < 1 << 30:
 
 _U = np.uint64
 #: Odd numbers that hashes are made of.
-STEP, PAIR, MIX1, MIX2 = 0x9E3779B97F4A7C15, _U(0xA24BAED4963EE407), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
+STEP, LINE, PAIR, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, _U(0xA24BAED4963EE407), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 #: Which bytes are parts of words, and a number for each folded byte.
 IN_WORD = np.array([c != 32 for c in FOLD])
 BYTE = np.where(IN_WORD, (np.random.default_rng(7).integers(0, 2**64, 256, dtype=_U) | _U(1))[np.frombuffer(FOLD, np.uint8)], _U(0))
@@ -164,10 +165,10 @@ def least_pairs(words: np.ndarray, first: np.ndarray, count: np.ndarray, common:
     return np.bincount(line[kept], minlength=len(first)), keys[kept].astype(np.int64)
 
 
-def parities(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Four numbers a line: the parity of its words in 256 classes."""
-    bit, part = _U(1) << ((words >> _U(56)) & _U(63)), words >> _U(62)
-    return [np.bitwise_xor.reduceat(np.where(part == _U(i), bit, _U(0)), first).view(np.int64) for i in range(4)]
+def parities(words: np.ndarray, first: np.ndarray, n: int = 4) -> list[np.ndarray]:
+    """n numbers a line, 4 or 2: the parity of its words in 64 n classes."""
+    bit, part = _U(1) << ((words >> _U(56)) & _U(63)), (words >> _U(62)) & _U(n - 1)
+    return [np.bitwise_xor.reduceat(np.where(part == _U(i), bit, _U(0)), first).view(np.int64) for i in range(n)]
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -181,6 +182,20 @@ def _slices(batch: pa.RecordBatch, column: int):
         yield part, _texts(part.column(column))
 
 
+def line_names(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each line's words and their order; lines have all the words, one after the other."""
+    place = np.arange(len(words)) - np.repeat(first, count)
+    return mixed(np.add.reduceat(words * powers(LINE, int(count.max()))[place], first) + count.astype(_U) * PAIR)
+
+
+def _coded(words: np.ndarray, count: np.ndarray, new: np.ndarray) -> pa.Array:
+    """The words of each new line in 32 bits each, null for other lines; lines have all the words, one after the other."""
+    data = (words >> _U(32)).astype(np.uint32)[np.repeat(new, count)]
+    ends = np.append(0, np.cumsum(np.where(new, 4 * count, 0))).astype(np.int32)
+    bits = np.packbits(new, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(count), [pa.py_buffer(x) for x in (bits, ends, data)])
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, line, num, words, codes) of every line that counts.
 
@@ -189,24 +204,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        scan, seen = Scanner(), set()
+        scan, seen = Scanner(), np.zeros(MEMO, dtype=_U)
         for batch in batches:
             for part, texts in _slices(batch, 2):
                 for text, line, first, count, words in scan(texts):
-                    raw, digest = memoryview(words).cast("B"), xxhash.xxh3_64_intdigest
-                    short = memoryview((words >> _U(32)).astype(np.uint32)).cast("B")
-                    names, codes = [], []
-                    for f, n in zip(first.tolist(), count.tolist(), strict=True):
-                        names.append(k := digest(raw[8 * f : 8 * (f + n)]))
-                        new = n >= FUZZY_WORDS and k not in seen
-                        codes.append(bytes(short[4 * f : 4 * (f + n)]) if new else None)
-                        if new:
-                            seen.add(k)
-                    if len(seen) > MEMO:
-                        seen.clear()
+                    names = line_names(words, first, count)
+                    place = (names % _U(MEMO)).astype(np.int64)
+                    new = np.zeros(len(names), dtype=bool)
+                    new[np.unique(names, return_index=True)[1]] = True
+                    new &= (count >= FUZZY_WORDS) & (seen[place] != names)
+                    seen[place[new]] = names[new]
                     at = pa.array(text)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(at), part.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(np.array(names, dtype=_U).view(np.int64)), pa.array(count.astype(np.int32)), pa.array(codes, pa.binary())],
+                        [part.column(0).take(at), part.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(names.view(np.int64)), pa.array(count.astype(np.int32)), _coded(words, count, new)],
                         ["doc_id", "row_hash", "line", "num", "words", "codes"],
                     )
 
@@ -214,12 +224,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return in_batches(docs_, run, f"doc_id {id_type(docs)}, row_hash long, line int, num long, words int, codes binary")
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, first, count) of lines that are given by their codes: numbers of 64 bits for the words, and where each line has its own."""
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, first, count) of lines that are given by their codes: those of all, and where each line has its own."""
     column = column.cast(pa.binary())
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     codes = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32)
-    return mixed(codes * _U(STEP)), (ends[:-1] - ends[0]) // 4, np.diff(ends) // 4
+    return codes, (ends[:-1] - ends[0]) // 4, np.diff(ends) // 4
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_codes` with numbers of 64 bits for the words."""
+    codes, first, count = _codes(column)
+    return mixed(codes * _U(STEP)), first, count
 
 
 def common_words(known: DataFrame) -> np.ndarray:
@@ -237,7 +253,8 @@ def common_words(known: DataFrame) -> np.ndarray:
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
 
-    rows = in_batches(known.select("codes"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    few = known.select("codes").coalesce(known.sparkSession.sparkContext.defaultParallelism)  # a task gives up to a million rows, however many lines it has
+    rows = in_batches(few, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     rows = rows.orderBy(F.desc("n"), "slot").limit(COMMON).collect()
     out = np.zeros(1 << SLOT_BITS, dtype=np.float32)
     out[[r.slot for r in rows]] = [r.n for r in rows]
@@ -272,8 +289,7 @@ def keyed(known: DataFrame) -> DataFrame:
         for batch in batches:
             words, first, count = _words(batch.column(1))
             n, keys = least_pairs(words, first, count, shared.value)
-            parts = parities(words, first)
-            held.append((batch.column(0).to_numpy(), count, parts[0] ^ parts[2], parts[1] ^ parts[3], n, keys))
+            held.append((batch.column(0).to_numpy(), count, *parities(words, first, 2), n, keys))
             lines += batch.num_rows
             if lines >= LINES:
                 yield from told(held)
@@ -339,18 +355,102 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return similar(a.tolist(), b.tolist())
 
 
+def bags(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each line, how many of its words are in each of 256 classes."""
+    out, classes = np.zeros((len(first), 256), dtype=np.uint8), (words >> words.dtype.type(8 * words.itemsize - 8)).astype(np.int64)
+    for at in range(0, len(first), 200):
+        n = count[at : at + 200]
+        end = np.cumsum(n)
+        place = np.arange(end[-1]) + np.repeat(first[at : at + 200] - (end - n), n)
+        got = np.bincount(classes[place] + np.repeat(np.arange(0, 256 * len(n), 256), n), minlength=256 * len(n))
+        out[at : at + 200] = np.minimum(got, 255).reshape(-1, 256)
+    return out
+
+
+def _places_apart(words: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """In how many places the n words from a on differ from those from b on."""
+    end = np.cumsum(n)
+    each = np.arange(end[-1]) if len(n) else end
+    differ = words[each + np.repeat(a - (end - n), n)] != words[each + np.repeat(b - (end - n), n)]
+    return np.diff(np.append(0, np.cumsum(differ))[end], prepend=0)
+
+
+def _edits_in_band(words: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, up: np.ndarray, kind) -> np.ndarray:
+    """The fewest edits from the na words at a to the nb words at b, nb <= na, on paths that keep to as many diagonals of the edit matrix as kind has bits.
+
+    Of these ``up`` are above the main one. As in :func:`edits`, a word of b at a time, for all pairs at once; bits move on by one with each word,
+    so that a diagonal keeps its bit, and the edits are those that the diagonal of the end takes.
+    """
+    width, most = 8 * np.dtype(kind).itemsize, int(nb.max())
+    rows = np.lib.stride_tricks.sliding_window_view(words.take(a[:, None] - up[:, None] + np.arange(most + width - 1), mode="clip"), width, axis=1)
+    equal = np.packbits(rows == words.take(b[:, None] + np.arange(most), mode="clip")[:, :, None], axis=2, bitorder="little")
+    equal = np.ascontiguousarray(equal.view(kind)[:, :, 0].T)
+    one, full = kind(1), kind(2**width - 1)
+    for c in range(min(most, int(up.max()))):  # there are no words before the first
+        equal[c] &= full << np.maximum(up - c, 0).astype(kind)
+    plus, minus, end = full << up.astype(kind), np.zeros(len(a), dtype=kind), one << (na - nb + up).astype(kind)
+    out = na - nb
+    left = np.searchsorted(-nb, -np.arange(most), "left")  # nb falls: so many pairs have a word there
+    for c in range(most):
+        n = left[c]
+        x, p, m = equal[c, :n], plus[:n], minus[:n]
+        level = (((x & p) + p) ^ p) | x | m
+        out[:n] += (level & end[:n]) == 0
+        rise, fall = m | ~(level | p), level & p
+        level >>= one
+        plus, minus = fall | ~(level | rise), level & rise
+    return out
+
+
+def all_alike(words: np.ndarray, first: np.ndarray, count: np.ndarray, i: np.ndarray, j: np.ndarray, bag: np.ndarray | None = None) -> np.ndarray:
+    """:func:`similar` for the pairs (i, j) of lines, each with count words from first on; bag: :func:`bags` of the lines.
+
+    Places that differ tell that lines are similar, bags that they are not; edits, which decide on the others, need just one diagonal more than
+    there may be edits, up to 64. Lines of 320 words and more, which may have more, are compared one by one where 64 are not enough.
+    """
+    swap = count[i] < count[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    most, more = (count[i] * (1 - SIMILARITY) + 1e-9).astype(np.int64), count[i] - count[j]
+    out, left = np.zeros(len(i), dtype=bool), np.flatnonzero(more <= most)
+    for ends in (False, True):
+        a, b = first[i[left]], first[j[left]]
+        ok = _places_apart(words, a + more[left] if ends else a, b, count[j[left]]) + more[left] <= most[left]
+        out[left[ok]] = True
+        left = left[~ok]
+    x, y = i[left], j[left]
+    if bag is None:
+        used, at = np.unique(np.append(x, y), return_inverse=True)
+        bag, x, y = bags(words, first[used], count[used]), at[: len(x)], at[len(x) :]
+    for at in range(0, len(left), 4_000):
+        o, own, other = left[at : at + 4_000], bag[x[at : at + 4_000]], bag[y[at : at + 4_000]]
+        left[at : at + 4_000] = np.where((np.maximum(own, other) - other).sum(axis=1, dtype=np.int64) <= most[o], o, -1)
+    left = left[left >= 0]
+    for low, kind in ((0, np.uint8), (8, np.uint16), (16, np.uint32), (32, np.uint64)):
+        width = 8 * np.dtype(kind).itemsize
+        of = left[(most[left] >= low) & ((most[left] < width) | (low == 32)) & (more[left] < 64)]
+        of, at = of[np.argsort(-count[j[of]], kind="stable")], 0
+        while at < len(of):
+            o = of[at : at + max(1, CELLS // (width * int(count[j[of[at]]])))]
+            up = (np.minimum(most[o], width - 1) - more[o]) // 2
+            out[o] = _edits_in_band(words, first[i[o]], count[i[o]], first[j[o]], count[j[o]], up, kind) <= most[o]
+            at += len(o)
+    for o in left[(most[left] > 63) & ~out[left]].tolist():
+        out[o] = alike(*(words[first[x] : first[x] + count[x]] for x in (i[o], j[o])))
+    return out
+
+
 def meetings(rows: DataFrame) -> DataFrame:
     """(hot, a, b, words) of rows of :func:`keyed`, which may repeat.
 
     Where hot is false, a and b are two lines that may be similar; else line b, of so many words, has key a, which over BUCKET lines have.
-    Rows come in order of their key, so that a task holds BUCKET rows and a batch at most.
+    Rows come in order of their key, so that a task holds BUCKET rows and PAIRS at most, and a batch.
     """
 
     def run(batches):
         held, going = np.zeros((5, 0), dtype=np.int64), -1  # rows of the last key, which may go on, and the last key if it is hot
-        for batch in batches:
-            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            held, going, out = _met(np.concatenate([held, now], axis=1), going, False)
+        for some in _piled(batches):
+            now = (np.concatenate([b.column(c).to_numpy() for b in some]).astype(np.int64) for c in range(5))
+            held, going, out = _met(np.concatenate([held, np.stack(list(now))], axis=1), going, False)
             yield out
         yield _met(held, going, True)[2]
 
@@ -389,6 +489,12 @@ def _met(x: np.ndarray, going: int, last: bool) -> tuple[np.ndarray, int, pa.Rec
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) of lines (num, codes) that are similar enough, without most that a task's other pairs link already."""
 
+    def told(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        words, first, count = _codes(pa.concat_arrays([table["x"].chunk(0), table["y"].chunk(0)]))
+        n = table.num_rows
+        return table.filter(pa.array(all_alike(words, first, count, np.arange(n), np.arange(n, 2 * n)))).select(["a", "b"])
+
     def run(batches):
         group: dict[int, int] = {}
 
@@ -398,43 +504,64 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 x = y
             return x
 
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
+        for held in _piled(batches):
+            found = told(held)
             ok = []
-            for i in range(len(a)):
-                p, q = root(a[i]), root(b[i])
-                if p != q and alike(np.frombuffer(x[i], np.uint32), np.frombuffer(y[i], np.uint32)):
+            for i, (a, b) in enumerate(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)):
+                p, q = root(a), root(b)
+                if p != q:
                     group[p] = q
                     ok.append(i)
             if len(group) > MEMO:
                 group.clear()
-            at = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+            yield from found.take(pa.array(ok, pa.int64())).to_batches()
 
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return in_batches(both, run, "a long, b long")
 
 
+def _piled(batches):
+    """Lists of batches with PAIRS rows or BYTES, or just more."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= PAIRS or size >= BYTES:
+            yield held
+            held, rows, size = [], 0, 0
+    if rows:
+        yield held
+
+
 def _linked(num: np.ndarray, root: np.ndarray, codes: pa.Array) -> list[tuple[int, int]]:
-    """Pairs of similar lines, as many as it takes to put all of these together that are not yet; root: their groups so far."""
-    words, first, count = _words(codes)
-    bits, by = np.stack(parities(words, first), axis=1).view(_U), np.argsort(count, kind="stable")
-    num, root, first, n, bits = num[by], root[by], first[by], count[by], bits[by]
+    """Pairs of similar lines, as many as it takes to put all of these together that are not yet; root: their groups so far.
+
+    Lines are compared with all longer ones, first one line, then more at once: near copies are one group before most of their pairs are due.
+    """
+    short, first, count = _codes(codes)
+    bits, by = np.stack(parities(mixed(short * _U(STEP)), first), axis=1).view(_U), np.argsort(count, kind="stable")
+    num, root, first, n, bits = num[by], root[by], first[by], count[by], np.ascontiguousarray(bits[by].T)
     group = np.unique(root, return_inverse=True)[1]
     left = group.max()
     most, end = (n * (1 - SIMILARITY) + 1e-9).astype(np.int64), np.searchsorted(n, n * 5 // 4, "right")
-    line = lambda i: words[first[i] : first[i] + n[i]]
-    out = []
-    for i in range(len(n)):
-        if not left:
-            break
-        j = i + 1 + np.flatnonzero(group[i + 1 : end[i]] != group[i])
-        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * most[j]]
-        for k in j.tolist():
-            if group[k] != group[i] and alike(line(i), line(k)):
-                out.append((int(num[i]), int(num[k])))
-                group[group == group[k]] = group[i]
-                left -= 1
+    bag, out, i, step = bags(short, first, n), [], 0, 1
+    while left and i < len(n):
+        to = min(i + step, len(n))
+        until = int(end[to - 1])
+        apart = np.zeros((to - i, until - i), dtype=np.uint16)
+        for x in bits:
+            apart += np.bitwise_count(x[i:to, None] ^ x[None, i:until])
+        ok = (apart <= 2 * most[i:until]) & (group[i:to, None] != group[i:until]) & (np.arange(i, until) < end[i:to, None])
+        a, b = (x + i for x in np.nonzero(np.triu(ok, 1)))
+        i, step = to, max(1, min(4 * step, CELLS // 64 // len(n)))
+        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(n[b]) // (BYTES // 8))) + 1):
+            part = part[group[a[part]] != group[b[part]]]
+            ok = part[all_alike(short, first, n, a[part], b[part], bag)] if len(part) else part
+            for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                if group[x] != group[y]:
+                    out.append((int(num[x]), int(num[y])))
+                    group[group == group[y]] = group[x]
+                    left -= 1
     return out
 
 
@@ -557,9 +684,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(*DOC_COLUMNS)
     gone = removals(docs).withColumnRenamed("lines", "_gone")
     out = same_row(docs.withColumn("row_hash", text_hash()), gone, "left")
-    split = F.split("text", "\n")
     # Bound by a lambda, so that a text is split once; array_except takes the numbers to remove as a set.
     kept = F.expr("transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]), '\\n'))[0]")
-    out = out.withColumns({"_text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept), "_n": F.coalesce(F.size(split), F.lit(0)).cast("long")})
+    out = out.withColumns({"_text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept), "_n": F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")})
     chars = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
     return out.select("doc_id", F.col("_text").alias("text"), "lang", "source", chars.alias("n_chars"), F.col("_n").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -467,6 +468,45 @@ def test_alike_lines():
         assert lines.alike(a, b) == lines.similar(a.tolist(), b.tolist())
 
 
+def test_lines_are_compared_many_at_once(monkeypatch):
+    """Lines of one key that are near but not similar, and those that are, cost no comparison each; lines of any length are told apart as one by one."""
+    rng = np.random.default_rng(5)
+    plain, texts = lines.similar, []
+    for n in [4, 5, 9, 10, 39, 40, 79, 80, 159, 160, 319, 320, 400] * 3:
+        for vocabulary in (3, 50, 2**32):
+            texts.append(base := rng.integers(0, vocabulary, n, dtype=np.uint32))
+            for share in (0.5, 0.9, 1.1):
+                x = base.tolist()
+                for _ in range(max(1, int(n / 5 * share))):
+                    at = int(rng.integers(len(x)))
+                    x[at : at + int(rng.integers(2))] = rng.integers(0, vocabulary, int(rng.integers(2)), dtype=np.uint32).tolist()
+                texts.append(np.array(x, dtype=np.uint32))
+    count = np.array([len(x) for x in texts])
+    i = rng.integers(0, len(texts), 4_000)
+    j = np.where(rng.random(4_000) < 0.8, i // 4 * 4 + rng.integers(0, 4, 4_000), rng.integers(0, len(texts), 4_000))
+    got = lines.all_alike(np.concatenate(texts), np.cumsum(count) - count, count, i, j)
+    assert got.tolist() == [plain(texts[a].tolist(), texts[b].tolist()) for a, b in zip(i, j, strict=True)] and 0 < got.sum() < len(got)
+    assert len(lines.all_alike(np.concatenate(texts), np.cumsum(count) - count, count, i[:0], j[:0])) == 0
+
+    def one_by_one(a, b):
+        raise AssertionError("a pair was compared by itself")
+
+    monkeypatch.setattr(lines, "similar", one_by_one), monkeypatch.setattr(lines, "alike", one_by_one)
+    base, near = rng.integers(0, 2**32, 40, dtype=np.uint32), []
+    for k in range(300):  # 12 words of 40 are each line's own, and 2 lines each are alike
+        x = base.copy()
+        x[rng.permutation(40)[:12]] = rng.integers(0, 2**32, 12, dtype=np.uint32)
+        near += [x.tobytes(), np.append(x[1:], np.uint32(k)).tobytes()]
+    num = np.arange(600)
+    assert {tuple(sorted(x)) for x in lines._linked(num, num, pa.array(near, pa.binary()))} == {(2 * k, 2 * k + 1) for k in range(300)}
+
+
+def test_numbers_of_lines(spark):
+    texts = ["", "\n", "a", "a\n", "\n\na b\n", None, "é\r\né"]
+    df = spark.createDataFrame([(k, t, "en", "x", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.n_lines for r in lines.dedup(df).collect()} == {k: len(t.split("\n")) if t is not None else 0 for k, t in enumerate(texts)}
+
+
 def test_word_frequencies_come_from_all_lines(spark):
     """No count is from a part of the documents: each word counts as often as lines have it."""
     texts = ["all lines have these words", *(f"also w{i} w{i + 1} w{i + 2}" for i in range(9_000))]
