@@ -57,6 +57,15 @@ def test_neighbours_as_sql_has_them_where_rounded_cosines_tie(spark, tmp_path):
         assert rows(REGISTRY[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(SQL[name]).df()), name
 
 
+def test_j08_has_neighbours_of_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    vectors = {i: [float(x) for x in rng.normal(size=8).astype(np.float32) / 3] for i in range(1, 130)}
+    values = [(i, v, 0) for i, v in [*vectors.items(), (None, vectors[1])]]
+    spark.createDataFrame(values, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r.q_id, r.vec_id, r.rank) for r in REGISTRY["j08_knn"](spark, str(tmp_path)).collect())
+    assert got == plain(vectors, list(vectors), 5, lambda a, b: a != b, 6) and "%" not in SQL["j08_knn"]
+
+
 def test_m10_holds_beyond_the_lists(spark, tmp_path, monkeypatch):
     """Against all places worked out plainly: null labels and vectors come last, and few vectors are in all three lists."""
     from overscribe.plans import retrieval
