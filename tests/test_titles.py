@@ -77,6 +77,39 @@ def test_matched_is_what_the_matcher_finds():
         assert matched(a, b) == want and (a == b or matched(a, b, least) == (want if want >= least else -1))
 
 
+def test_few_titles_of_one_language_are_read_to_their_end(monkeypatch):
+    """Grams near their place tell titles of the same words apart, and lose none that is alike, however its places are moved."""
+    import numpy as np
+
+    left, in_order = [], signals._in_order
+    monkeypatch.setattr(signals, "_in_order", lambda x, y, rows, cols, least: left.append(len(rows)) or in_order(x, y, rows, cols, least))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 4))) for _ in range(120)]
+    for tables in (1 << 25, 1 << 18):
+        monkeypatch.setattr(signals, "TABLE", tables)
+        x = ["".join(rng.choices(words, k=rng.randint(150, 160))) for _ in range(24)]
+        y = [t[: rng.randint(0, 60)] + t[60:300] + "".join(rng.choices(words, k=rng.randint(0, 12))) + t[rng.randint(290, 320) :] for t in x]
+        want = {(i, i) for i in range(24) if ratio(x[i], y[i]) >= 0.9}
+        known = {}
+        for _ in range(2):
+            rows, cols = signals._may_be_alike(x, y, 0.9, np.ones((24, 24), bool), known)
+            assert want <= set(zip(rows.tolist(), cols.tolist())) and len(want) > 10 and left[-1] < 50
+        left.clear()
+
+
+def test_long_texts_are_split_by_hashes(monkeypatch):
+    from overscribe.functions import matching
+
+    monkeypatch.setattr(matching, "CELLS", 300)
+    monkeypatch.setattr(matching, "Corpus", None)  # the automaton took 34 s for two titles of 40,000 characters
+    rng = random.Random(6)
+    for letters in ("ab", "abcdefgh", "abcdefghijklmnopqrst海"):
+        for _ in range(40):
+            a = "".join(rng.choices(letters, k=rng.randint(30, 160)))
+            b = "".join(c if rng.random() > 0.1 else rng.choice(letters) * rng.randint(0, 2) for c in a)
+            assert matching.matched(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
 @pytest.mark.parametrize("words", [32, 0])
 def test_long_titles_of_the_same_grams(monkeypatch, words):
     """Titles of one language share nearly all grams: only few pairs may be left whose blocks are worked out, and all that count."""
